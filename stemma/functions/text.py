@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Ligatures, spaces, quotes and dashes that are unified.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st"}
@@ -25,7 +26,7 @@ GOOD = "\\x{0}-\\x{24F}\\x{370}-\\x{3FF}\\x{1E00}-\\x{1EFF}\\x{2000}-\\x{27BF}"
 KEY_CHARS = "0-9a-zäöüß%<>≤≥=+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition, and plain letters for mathematical alphanumerics."""
     def fold(t: str | None) -> str | None:
