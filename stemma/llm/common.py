@@ -79,4 +79,4 @@ def salt(columns: list[Column], salts: int) -> Column:
 
 
 def all_salts(salts: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("int")
+    return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

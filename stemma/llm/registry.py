@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.llm import bpe, records
+from stemma.llm import bpe, html, records, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": bpe.op2_bpe,
         "op5_records": records.op5_records,
+        "op8_warc": warc.op8_warc,
+        "op10_html": html.op10_html,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": warc.ORACLE}
