@@ -209,7 +209,7 @@ def write_archives(pages: DataFrame, target: str) -> list[str]:
         mine, n = f"{root}/.{uuid.uuid4().hex}", 0
         fs.create_dir(root, recursive=True)
         packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        with fs.open_output_stream(mine) as out:
+        with fs.open_output_stream(mine, compression=None) as out:
             out.write(dictionary_frame(dictionary))
             for batch in batches:
                 for page_id, url, html, refers in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"]):
@@ -237,7 +237,7 @@ def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
             for path in batch["path"]:
                 fs, name = filesystem(path)
                 rows: list[dict] = []
-                with fs.open_input_stream(name) as stream:
+                with fs.open_input_stream(name, compression=None) as stream:
                     for r in read_archive(stream):
                         if r["record_type"] in ("response", "revisit"):
                             rows.append({k: r[k] for k in names})
