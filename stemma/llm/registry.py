@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.llm import bpe, html, records, warc
+from stemma.llm import bpe, html, records, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": bpe.op2_bpe,
+        "op4_secrets": secrets.op4_secrets,
         "op5_records": records.op5_records,
         "op8_warc": warc.op8_warc,
         "op10_html": html.op10_html,
@@ -19,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": warc.ORACLE}
+    return {"op4_secrets": secrets.ORACLE, "op8_warc": warc.ORACLE}
