@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.llm import bpe, html, records, secrets, warc
+from stemma.llm import bpe, html, language, records, secrets, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_bpe": bpe.op2_bpe,
+        "op3_language": language.op3_language,
         "op4_secrets": secrets.op4_secrets,
         "op5_records": records.op5_records,
         "op8_warc": warc.op8_warc,
