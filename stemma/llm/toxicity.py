@@ -33,8 +33,8 @@ from stemma.llm.language import fit_linear
 SAMPLE_ROWS = 3000
 #: Entries of the lexicon, at most, and the least log odds and documents of one.
 ENTRIES, LEAST_ODDS, LEAST_DOCS = 500, 2.5, 3
-#: A stem is a beginning of so many letters that has at least so many endings.
-STEM_LETTERS, ENDINGS = (4, 5), 5
+#: A stem is a beginning of so many letters that has at least so many endings; its least log odds.
+STEM_LETTERS, ENDINGS, STEM_ODDS = range(4, 9), 5, 4.0
 #: Letters of a term from which one edit, and two edits, are allowed.
 ONE_EDIT, TWO_EDITS = 5, 9
 #: Words on either side of a hit that belong to its window.
@@ -227,13 +227,13 @@ def learn_lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
     bad, fine = F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine")
     scale = F.lit((totals[0] + 1) / (totals[1] + 1))
     odds = F.log((F.col("bad") + 0.5) / (F.col("fine") + 0.5) * scale)
-    strong = (F.col("bad") >= max(LEAST_DOCS, totals[1] // 100)) & (odds >= LEAST_ODDS)
 
-    def best(counts: DataFrame, name: str) -> list:
+    def best(counts: DataFrame, name: str, least_odds: float) -> list:
+        strong = (F.col("bad") >= max(LEAST_DOCS, totals[1] // 100)) & (odds >= least_odds)
         return counts.filter(strong).orderBy((odds * F.sqrt("bad")).desc(), name).limit(ENTRIES).collect()
 
     # one entry a document at most counts for a stem, as for a term
-    terms = [r["word"] for r in best(words.groupBy("word").agg(bad, fine), "word")]
+    terms = [r["word"] for r in best(words.groupBy("word").agg(bad, fine), "word", LEAST_ODDS)]
     beginnings = rows.select(
         "toxic",
         F.explode(
@@ -245,10 +245,10 @@ def learn_lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
         ).alias("stem"),
     )
     forms = words.filter("toxic = 1").select(F.explode(F.array(*(F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEM_LETTERS))).alias("stem"), "word").groupBy("stem").agg(F.approx_count_distinct("word").alias("forms"))
-    ranked = best(beginnings.groupBy("stem").agg(bad, fine).join(forms.filter(F.col("forms") >= ENDINGS), "stem").filter(F.col("bad") >= max(LEAST_DOCS, totals[1] // 50)), "stem")
+    ranked = best(beginnings.groupBy("stem").agg(bad, fine).join(forms.filter(F.col("forms") >= ENDINGS), "stem").filter(F.col("bad") >= max(LEAST_DOCS, totals[1] // 50)), "stem", STEM_ODDS)
     stems: list[str] = []
-    for r in sorted(ranked, key=lambda r: (len(r["stem"]), r["stem"])):
-        if not any(r["stem"].startswith(s) for s in stems):
+    for r in ranked:  # the strongest of stems that begin one another
+        if not any(r["stem"].startswith(s) or s.startswith(r["stem"]) for s in stems):
             stems.append(r["stem"])
     return sorted(t for t in terms if not any(t.startswith(s) for s in stems)), sorted(stems)
 
