@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.llm import bpe, decontaminate, html, jaccard, language, records, secrets, toxicity, warc
+from stemma.llm import bpe, decontaminate, embeddings, html, jaccard, language, records, secrets, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language": language.op3_language,
         "op4_secrets": secrets.op4_secrets,
         "op5_records": records.op5_records,
+        "op6_embeddings": embeddings.op6_embeddings,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_warc": warc.op8_warc,
         "op9_jaccard": jaccard.op9_jaccard,
