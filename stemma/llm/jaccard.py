@@ -256,6 +256,12 @@ def candidate_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return links.distinct()
 
 
+def _with_text(firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Classes with the text of their first row; a row that repeats it brings it again."""
+    texts = docs.select(F.col("doc_id").alias("text_id"), F.col("key").alias("text_key"), "text")
+    return firsts.join(texts, (F.col("first.key") == F.col("text_key")) & F.col("first.doc_id").eqNullSafe(F.col("text_id")))
+
+
 def _split(large: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Members of large buckets follow their paths for LEVELS more tokens."""
 
@@ -265,8 +271,8 @@ def _split(large: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         return pd.Series([extend(np.array(p, np.int64).view(np.uint64), s, LEVELS).view(np.int64) if len(s) else [] for s, p in zip(sets, paths)])
 
     members = large.groupBy("sig").agg(F.collect_list("path").alias("paths"))  # a class has few paths
-    with_text = members.join(classes.select("sig", "rep"), "sig").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").dropDuplicates(["sig", "rep"])
-    return with_text.select(F.explode(further("text", "paths")).alias("path"), "sig")
+    with_text = _with_text(members.join(classes.select("sig", "first"), "sig"), docs)
+    return with_text.select(F.explode(further("text", "paths")).alias("path"), "sig").distinct()
 
 
 # ---------------------------------------------------------------- verification
@@ -310,13 +316,13 @@ def verified_links(classes: DataFrame, docs: DataFrame, found: DataFrame) -> Dat
     spread = members.withColumn("salt", salt([F.col("sig")], SALTS)).join(sizes, ["comp", "salt"])
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("sig", F.lit(9)), F.col("blocks")).cast("int")
-    reps = spread.withColumn("blocks", blocks).withColumn("mine", mine).join(classes.select("sig", "rep", "copies"), "sig")
-    with_text = reps.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    reps = spread.withColumn("blocks", blocks).withColumn("mine", mine).join(classes.select("sig", "first", "copies"), "sig")
+    with_text = _with_text(reps, docs)
     rows = with_text.select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "mine", "sig", "copies", "text")
     rows = rows.select("comp", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") <= F.col("other")).alias("left"), "sig", "copies", "text")
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
-        # a repeated doc_id can bring another text: only the class's own counts, and once
+        # a row that repeats the first one brings its text again: it counts once
         sets, own = {}, {}
         for k, (s, sig) in enumerate(zip(shingle_sets(group["text"].tolist()), group["sig"])):
             if sig not in own and signature(s) == sig:
@@ -345,26 +351,33 @@ def verified_links(classes: DataFrame, docs: DataFrame, found: DataFrame) -> Dat
 
 # ---------------------------------------------------------------- join
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"))
+
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, sig), classes (sig, rep, copies, ...), verified (sig, n, root)."""
+    """Rows (doc_id, key, sig), classes (sig, first, copies), verified (sig, n, root).
+
+    key is a digest of the text; first the (no_id, doc_id, key) that stands for the class.
+    """
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    rows = written(docs.select("doc_id", signed(F.col("text")).alias("s")).select("doc_id", "s.*"), "signed")
+    docs = _keyed(docs)
+    rows = written(docs.select("doc_id", "key", signed(F.col("text")).alias("s")).select("doc_id", "key", "s.*"), "signed")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     classes = (
         rows.filter("sig is not null")
         .groupBy("sig")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
+        .agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     )
     classes = written(classes, "classes")
     verified = written(verified_links(classes, docs, candidate_links(classes, docs)), "verified")
-    return rows.select("doc_id", "sig"), classes.select("sig", "rep", "copies"), verified
+    return rows.select("doc_id", "key", "sig"), classes.select("sig", "first", "copies"), verified
 
 
 def _with_classes(rows: DataFrame, classes: DataFrame, facts: DataFrame) -> DataFrame:
     """Rows with their class and its facts; only classes that have any are joined."""
     known = classes.join(facts, "sig", "left").filter((F.col("copies") > 1) | F.col("fact").isNotNull())
-    spread = rows.withColumn("salt", salt([F.col("doc_id")], SALTS))
+    spread = rows.withColumn("salt", salt([F.col("doc_id"), F.col("key")], SALTS))
     return spread.join(known.withColumn("salt", all_salts(SALTS)), ["sig", "salt"], "left").drop("salt")
 
 
@@ -373,15 +386,37 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = verified.groupBy("sig").agg(F.sum("n").alias("fact"))
     out = _with_classes(rows, classes, links)
     n = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("fact", F.lit(0))
-    return out.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), n.cast("long").alias("n_links"))
+    return out.select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("class_id"), n.cast("long").alias("n_links"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, group_id): the least id that links lead to, for documents that have links."""
+    """(doc_id, key, first): the row that links lead to, for all rows that have links."""
     rows, classes, verified = join(docs)
     trees = components(verified.select("sig", "root")).toDF("sig", "tree")
-    named = classes.join(trees, "sig")
-    least = named.groupBy("tree").agg(F.min("rep").alias("fact")).withColumn("salt", all_salts(SALTS))
+    named = classes.join(trees, "sig").select("sig", "first", "tree")
+    least = named.groupBy("tree").agg(F.min("first").alias("fact")).withColumn("salt", all_salts(SALTS))
     facts = named.withColumn("salt", salt([F.col("sig")], SALTS)).join(least, ["tree", "salt"]).select("sig", "fact")
-    out = _with_classes(rows, classes, facts).filter("rep is not null")
-    return out.select("doc_id", F.coalesce("fact", "rep").alias("group_id"))
+    out = _with_classes(rows, classes, facts).filter("first is not null")
+    return out.select("doc_id", "key", F.coalesce("fact", "first").alias("first"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents but for all but the first of each group, with all their columns.
+
+    First is the least doc_id; among rows that repeat it with one text, the one with the least
+    hash of its columns.
+    """
+    names = docs.columns
+    whole = F.struct(*(F.col(f"`{c}`") for c in names))
+    rows = docs.select(whole.alias("row"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"))
+    grouped = written(groups(docs), "groups")
+    is_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key") == F.col("key"))
+    counted = grouped.groupBy(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), is_first.alias("stays")).agg(F.count(F.lit(1)).alias("n"))
+    counted = written(counted.filter("not stays or n > 1"), "leaving")
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key"))
+    rest = rows.join(counted, same, "left_anti").select("row")
+    if not counted.filter("stays").isEmpty():  # repeated rows of a first document: one stays
+        again = rows.join(counted.filter("stays"), same, "left_semi")
+        one = again.groupBy("id", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+        rest = rest.union(one)
+    return rest.select(*(F.col(f"row.`{c}`").alias(c) for c in names))
