@@ -87,3 +87,44 @@ def garbage_ratio(text: Column) -> Column:
     visible = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
     bad = F.regexp_replace(visible, f"[{GOOD}\\x{{1D400}}-\\x{{1D7FF}}]+", "")
     return F.when(F.length(visible) == 0, F.lit(0.0)).otherwise(F.length(bad) / F.length(visible))
+
+
+def char_ngrams(text: Column) -> Column:
+    """Character 3- and 4-grams of a text with a space before and behind."""
+    padded = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
+
+    def grams(n: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
+        return F.filter(F.transform(at, lambda k: F.substring(padded, k, F.lit(n))), lambda g: F.length(g) == n)
+
+    return F.concat(grams(3), grams(4))
+
+
+def word_trigrams(text: Column) -> Column:
+    """Distinct word trigrams of a normal form; fewer than three words are one gram."""
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    at = F.sequence(F.lit(1), F.size(words) - 2)
+    grams = F.transform(at, lambda k: F.array_join(F.slice(words, k, F.lit(3)), " "))
+    return F.when(F.size(words) >= 3, F.array_distinct(grams)).otherwise(F.array(F.array_join(words, " ")))
+
+
+# Abbreviations that end no sentence.
+ABBREVIATIONS = (
+    r"bzw|z\. ?B|u\. ?a|d\. ?h|i\. ?d\. ?R|ggf|evtl|max|min|ca|vgl|Nr|Abs|Kap|Tab|Abb|"
+    r"inkl|zzgl|u\. ?U|o\. ?ä|o\. ?g|s\. ?o|s\. ?u|usw|etc|Hrsg|Aufl|S|f|ff|Pkt|gem|"
+    r"engl|dt|allg|techn|el|Fa|Ing|Dr|Prof"
+)
+
+
+def sentences(text: Column) -> Column:
+    """Sentences of an n1 or n2 text; a part after an abbreviation or a numbered dot rejoins."""
+    parts = F.filter(F.transform(F.split(text, r'(?U)(?<=[.!?:])\s+(?=[A-ZÄÖÜ0-9„"(])'), F.trim), lambda p: p != "")
+    open_end = rf"(?iU)(?:\b(?:{ABBREVIATIONS})\.)$|\b\d+\.$"
+    empty = F.expr("cast(array() as array<string>)")
+
+    def add(done: Column, part: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        rejoined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat_ws(" ", last, part)))
+        return F.when((F.size(done) > 0) & last.rlike(open_end), rejoined).otherwise(F.concat(done, F.array(part)))
+
+    return F.aggregate(parts, empty, add)

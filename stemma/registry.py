@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.plans import paragraphs
+from stemma.plans import paragraphs, texts
 
-MODULES = (paragraphs,)
+MODULES = (paragraphs, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
