@@ -20,11 +20,11 @@ ordered by text, null ids come first; empty tables give no shards; other columns
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm.bpe import LONGEST_KEPT, PIECES_KEPT, SPLIT, vocabulary_path
+from stemma.llm.bpe import LONGEST_KEPT, vocabulary_path
 from stemma.llm.common import filesystem, read_table, shared_dir, small_batches
 
 HEAD = struct.Struct("<qII")
@@ -42,6 +42,10 @@ NULL_ID, NARROW = 1, 2
 READ_BYTES = 8 << 20
 #: Words (of 4 bytes) that the vectorised checksum takes in one row.
 ROW_WORDS = 64
+#: Stretches of text whose ids a worker remembers; the memory is emptied when it is full.
+PIECES_KEPT = 1_200_000
+#: A space between white space, or between white space and the end.
+BETWEEN = re.compile(r"\s (?:\s|\Z)")
 
 # ---------------------------------------------------------------- checksums
 
@@ -165,39 +169,42 @@ def parse(data: bytes, unpacker: zstandard.ZstdDecompressor) -> tuple[int | None
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once per distinct piece of text.
+    """The tokenizers library, asked once per distinct stretch between spaces.
 
-    Byte-level BPE encodes the pieces of its split pattern independently, so the ids of a
-    text are those of its pieces in order. Texts that hold an added token go to the library
-    whole.
+    The split pattern of byte-level BPE begins a piece at every space that does not stand
+    between white space, so the ids of a text are those of its first stretch and of each
+    further one with its space. Texts with an added token, or with a space between white
+    space, go to the library whole.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.split = regex.compile(SPLIT).findall
-        self.known: dict[str, list[int]] = {}
+        self.type = np.dtype("<u2" if max(self.library.get_vocab().values()) < 1 << 16 else "<u4")
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        pack = struct.Struct
+        code = "H" if self.type.itemsize == 2 else "I"
+        return [pack(f"<{len(e.ids)}{code}").pack(*e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > PIECES_KEPT:
             self.known = {}
         known = self.known
-        pieces = [None if any(s in t for s in self.special) else self.split(t) for t in texts]
-        new = sorted(set(chain.from_iterable(p for p in pieces if p)).difference(known))
+        parts = [None if BETWEEN.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
+        new = sorted(set().union(*(p[1:] for p in parts if p)).difference(known))
         passing = {}
-        for piece, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            (known if len(piece) <= LONGEST_KEPT else passing)[piece] = got.ids
+        for part, got in zip(new, self.whole([" " + p for p in new])):
+            (known if len(part) <= LONGEST_KEPT else passing)[part] = got
         look = known.__getitem__ if not passing else lambda p: known[p] if p in known else passing[p]
-        out = []
-        for text, ps in zip(texts, pieces):
-            ids = self.library.encode(text, add_special_tokens=False).ids if ps is None else list(chain.from_iterable(map(look, ps)))
-            out.append(np.array(ids, np.uint32))
-        return out
+        firsts = self.whole([t if p is None else p[0] for t, p in zip(texts, parts)])
+        joined = (f if p is None else f + b"".join(map(look, p[1:])) for f, p in zip(firsts, parts))
+        return [np.frombuffer(j, self.type).astype(np.uint32) for j in joined]
 
 
 _encoders: dict[str, LibraryEncoder] = {}
