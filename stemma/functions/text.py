@@ -89,23 +89,29 @@ def garbage_ratio(text: Column) -> Column:
     return F.when(F.length(visible) == 0, F.lit(0.0)).otherwise(F.length(bad) / F.length(visible))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also inside higher-order functions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def char_ngrams(text: Column) -> Column:
     """Character 3- and 4-grams of a text with a space before and behind."""
-    padded = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
 
-    def grams(n: int) -> Column:
+    def grams(padded: Column, n: int) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
         return F.filter(F.transform(at, lambda k: F.substring(padded, k, F.lit(n))), lambda g: F.length(g) == n)
 
-    return F.concat(grams(3), grams(4))
+    return let(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), lambda p: F.concat(grams(p, 3), grams(p, 4)))
 
 
 def word_trigrams(text: Column) -> Column:
     """Distinct word trigrams of a normal form; fewer than three words are one gram."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    at = F.sequence(F.lit(1), F.size(words) - 2)
-    grams = F.transform(at, lambda k: F.array_join(F.slice(words, k, F.lit(3)), " "))
-    return F.when(F.size(words) >= 3, F.array_distinct(grams)).otherwise(F.array(F.array_join(words, " ")))
+
+    def grams(words: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1)))
+        return F.array_distinct(F.transform(at, lambda k: F.array_join(F.slice(words, k, F.lit(3)), " ")))
+
+    return let(F.filter(F.split(text, " "), lambda w: w != ""), grams)
 
 
 # Abbreviations that end no sentence.

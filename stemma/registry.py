@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.plans import enrich, paragraphs, texts
+from stemma.plans import enrich, links, paragraphs, texts
 
-MODULES = (paragraphs, texts, enrich)
+MODULES = (paragraphs, texts, enrich, links)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
