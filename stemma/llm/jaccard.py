@@ -280,8 +280,8 @@ def _split(large: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 VERIFIED = "sig binary, n long, root binary"
 
 
-def verify_sets(sets: list[np.ndarray], left: np.ndarray) -> np.ndarray:
-    """Exact matrix of links between sets; only pairs of different sides where sides differ."""
+def verify_sets(sets: list[np.ndarray], left: np.ndarray | None = None) -> np.ndarray:
+    """Exact matrix of links between sets; with sides, only of pairs of different sides."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     tokens, which = np.unique(np.concatenate(sets), return_inverse=True)
@@ -301,7 +301,7 @@ def verify_sets(sets: list[np.ndarray], left: np.ndarray) -> np.ndarray:
         common += grid @ grid.T
     links = 9 * common.astype(np.int64) >= 4 * (size[:, None] + size[None, :])
     np.fill_diagonal(links, False)
-    if left.any() and not left.all():
+    if left is not None:
         links &= left[:, None] != left[None, :]
     return links
 
@@ -330,7 +330,7 @@ def verified_links(classes: DataFrame, docs: DataFrame, found: DataFrame) -> Dat
         group, sets = group.iloc[list(own.values())], list(sets.values())
         if len(group) < 2:
             return pd.DataFrame({"sig": group["sig"], "n": [0] * len(group), "root": group["sig"]})
-        links = verify_sets(sets, group["left"].to_numpy())
+        links = verify_sets(sets, group["left"].to_numpy() if group["low"].iloc[0] != group["high"].iloc[0] else None)
         n = (links * group["copies"].to_numpy()[None, :]).sum(1)
         sigs = group["sig"].to_numpy()
         order = sorted(range(len(sigs)), key=lambda k: sigs[k])
