@@ -234,16 +234,11 @@ def learn_lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
 
     # one entry a document at most counts for a stem, as for a term
     terms = [r["word"] for r in best(words.groupBy("word").agg(bad, fine), "word", LEAST_ODDS)]
-    beginnings = rows.select(
-        "toxic",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.array(*(F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"[\p{{L}}\p{{M}}]{{{n + 1},}}"), F.lit(0))), lambda w, n=n: F.substring(w, 1, n)) for n in STEM_LETTERS))
-                )
-            )
-        ).alias("stem"),
-    )
+    def begins(n: int) -> Column:
+        longer = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"[\p{{L}}\p{{M}}]{{{n + 1},}}"), F.lit(0)))
+        return F.transform(longer, lambda w: F.substring(w, F.lit(1), F.lit(n)))
+
+    beginnings = rows.select("toxic", F.explode(F.array_distinct(F.flatten(F.array(*map(begins, STEM_LETTERS))))).alias("stem"))
     forms = words.filter("toxic = 1").select(F.explode(F.array(*(F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEM_LETTERS))).alias("stem"), "word").groupBy("stem").agg(F.approx_count_distinct("word").alias("forms"))
     ranked = best(beginnings.groupBy("stem").agg(bad, fine).join(forms.filter(F.col("forms") >= ENDINGS), "stem").filter(F.col("bad") >= max(LEAST_DOCS, totals[1] // 50)), "stem", STEM_ODDS)
     stems: list[str] = []
