@@ -168,7 +168,7 @@ def compare(group: pd.DataFrame, kind: type) -> pd.DataFrame:
     left = group["left"].to_numpy()
     close = x @ x.T >= COSINE
     np.fill_diagonal(close, False)
-    if not left.all():
+    if group["low"].iloc[0] != group["high"].iloc[0]:
         close &= left[:, None] != left[None, :]
     a, b = np.nonzero(np.triu(close))
     if not len(a):
