@@ -98,13 +98,17 @@ def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_N2 = r"""regexp_replace(regexp_replace(translate(replace(regexp_replace(regexp_replace(replace(translate(regexp_replace(
-  {t}, '[^\x{0}-\x{24F}\x{370}-\x{3FF}\x{1E00}-\x{1EFF}\x{2000}-\x{27BF}]+', '…', 'g'), chr(10) || chr(9) || chr(8208) || chr(8209) || chr(160), '  -- '), chr(173), ''),
-  '([a-zäöüß])-\s+((?:und|oder|bzw|sowie|als)(?:[^\p{L}\p{N}_]|$))', '\1' || chr(1) || '\2', 'g'),
-  '([a-zäöüß])-\s+([a-zäöüß])', '\1\2', 'g'), chr(1), '- '), '„“”‚‘’«»–—−', '""""''''""---'), '\s+', ' ', 'g'), '^ | $', '', 'g')"""
+#: The SQL twin of n2; `{t}` is the text. SQL doubles single quotes in its literals.
+_QUOTED = "'" + '"' * 3 + "''" * 3 + '"' * 2 + "---'"
+_N2 = (
+    r"regexp_replace(regexp_replace(translate(replace(regexp_replace(regexp_replace(replace(translate(regexp_replace("
+    r"{t}, '[^\x{0}-\x{24F}\x{370}-\x{3FF}\x{1E00}-\x{1EFF}\x{2000}-\x{27BF}]+', '…', 'g'), chr(10) || chr(9) || chr(8208) || chr(8209) || chr(160), '  -- '), chr(173), ''),"
+    r" '([a-zäöüß])-\s+((?:und|oder|bzw|sowie|als)(?:[^\p{L}\p{N}_]|$))', '\1' || chr(1) || '\2', 'g'),"
+    r" '([a-zäöüß])-\s+([a-zäöüß])', '\1\2', 'g'), chr(1), '- '), '„“”‚‘’«»–—−', " + _QUOTED + r"), '\s+', ' ', 'g'), '^ | $', '', 'g')"
+)
 
 QUERIES = {
-    "normalize_n2_hash": (normalize_n2_hash, "SELECT doc_id, md5(" + _N2.replace("{t}", "text").replace("'\"\"\"\"''''\"\"---'", "'\"\"\"''''''\"\"---'") + ") AS n2_md5 FROM documents"),
+    "normalize_n2_hash": (normalize_n2_hash, "SELECT doc_id, md5(" + _N2.replace("{t}", "text") + ") AS n2_md5 FROM documents"),
     "compare_key_hash": (
         compare_key_hash,
         """WITH k AS (SELECT doc_id, regexp_replace(lower(text), '[^0-9a-zäöüß%<>≤≥=+]+', '', 'g') AS k FROM documents)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.plans import enrich, links, paragraphs, reviews, texts
+from stemma.plans import diffs, enrich, links, paragraphs, reviews, texts
 
-MODULES = (paragraphs, texts, enrich, links, reviews)
+MODULES = (paragraphs, texts, enrich, links, reviews, diffs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

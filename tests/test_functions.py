@@ -165,3 +165,22 @@ def test_review_order(spark):
     answers = spark.createDataFrame([(1, 0, 2, "late"), (1, 0, 1, "early"), (1, 3, 1, "x")], "chapter int, change_index int, block int, answer string")
     got = {(r["change_index"], r["answer"], r["collisions"]) for r in review.merge_answers(answers).collect()}
     assert got == {(0, "early", 1), (3, "x", 0)}
+
+
+def test_shown_operations():
+    from stemma.operators import diff
+
+    assert diff.shown([("=", "Der "), ("-", "50-Hz"), ("+", "50 Hz"), ("=", " Wert")]) == ([("=", "Der 50 Hz Wert")], False)
+    assert diff.shown([("=", "Wert "), ("-", "5"), ("+", "2"), ("=", " %")]) == ([("=", "Wert 2 %")], False)
+    assert diff.shown([("-", "alt"), ("+", "neu")]) == ([("-", "alt"), ("+", "neu")], True)
+    assert diff.shown([("=", "a"), ("+", " und mehr davon im ganzen Netz")])[1]
+    assert diff.shown([]) == ([], False)
+    assert diff.is_substantive("5 %") and not diff.is_substantive("x1") and not diff.is_substantive(" ; ")
+
+
+def test_sentence_shift_is_the_strongest(spark):
+    from stemma.operators import diff
+
+    rows = [(1, 0, "Es kann sein.", "Es sollte sein."), (1, 1, "Es kann sein.", "Es muss sein."), (1, 2, None, "Es darf nicht sein."), (2, 0, "Es gilt.", "Es gilt.")]
+    got = diff.sentence_shifts(spark.createDataFrame(rows, "c int, sent_ix int, old_sentence string, new_sentence string"), ["c"])
+    assert [tuple(r) for r in got.collect()] == [(1, "verschaerft", 3)]
