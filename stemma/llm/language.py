@@ -175,8 +175,9 @@ def train(docs: DataFrame, learnable: Column, rows: int = SAMPLE_ROWS) -> Langua
     def grams(texts: pd.Series) -> pd.Series:
         return pd.Series([ngram_counts(t).astype(np.float16).tobytes() for t in texts])
 
-    # about `each` rows a language come to the driver, as counts of fixed size
-    sample = rows_of.filter(chosen).select("doc_id", "lang", grams("text").alias("grams")).toPandas().sort_values(["doc_id", "grams"])
+    # about `each` rows a language come to the driver, as counts of fixed size; the limit only
+    # bites where rows that repeat an id share its hash
+    sample = rows_of.filter(chosen).select("doc_id", "lang", grams("text").alias("grams")).limit(4 * rows).toPandas().sort_values(["doc_id", "grams"])
     counted = np.frombuffer(b"".join(sample["grams"]), np.float16).reshape(len(sample), -1).astype(np.float32)
     return fit(sample["lang"].to_numpy(), counted)
 

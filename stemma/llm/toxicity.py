@@ -258,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, rows: int = SAM
     spark = docs.sparkSession
     ids = F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int, half int"))  # bounded by `rows`
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
-    sample = sample.cache()
+    sample = sample.groupBy("doc_id", "toxic", "half").agg(F.min("text").alias("text")).cache()  # one text an id
     terms, stems = learn_lexicon(sample.filter("half = 0").select("text", "toxic"))
 
     @F.pandas_udf("array<double>")
