@@ -324,3 +324,25 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     f = free_name(docs, "overlap")
     return docs.withColumn(f, overlap(F.col("text"), blocks_of(benchmark))).filter(F.col(f"{f}.n_hit") == 0).drop(f)
+
+
+_WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS k, coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_WORDS.format(t="coalesce(text, '')")} AS w FROM benchmark),
+n AS (SELECT *, least({WINDOW}, len(w)) AS n FROM i WHERE len(w) > 0),
+o AS (SELECT k, item, w, n, unnest(generate_series(0, len(w) - n)) AS o FROM n),
+wins AS (SELECT k, item, n, o, array_to_string(w[o + 1:o + n], ' ') AS win FROM o),
+widths AS (SELECT DISTINCT n FROM n),
+p AS (SELECT r, n, w, unnest(generate_series(0, len(w) - n)) AS p FROM d, widths WHERE len(w) >= n),
+places AS (SELECT r, n, p, array_to_string(w[p + 1:p + n], ' ') AS win FROM p),
+occ AS (SELECT r, p, k, item, n, o FROM places JOIN wins USING (n, win)),
+hit AS (SELECT r, count(DISTINCT h) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + n - 1)) AS h FROM (SELECT DISTINCT r, p, n FROM occ)) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n_items, list_sort(list(DISTINCT item)) AS items FROM occ GROUP BY r),
+runs AS (SELECT *, p - row_number() OVER (PARTITION BY r, k, p - o ORDER BY p) AS run FROM occ),
+matches AS (SELECT r, item, min(p) AS first_place, count(*) - 1 + any_value(n) AS words FROM runs GROUP BY r, k, item, p - o, run),
+best AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY r ORDER BY words DESC, first_place, item) = 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(words, 0) AS longest, coalesce(best.item, '') AS longest_item, coalesce(first_place, 0) AS longest_at
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r) LEFT JOIN best USING (r)"""

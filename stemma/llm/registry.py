@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secrets": secrets.ORACLE, "op8_warc": warc.ORACLE}
+    return {"op4_secrets": secrets.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op8_warc": warc.ORACLE}
