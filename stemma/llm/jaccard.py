@@ -37,7 +37,7 @@ from stemma.llm.graph import components
 #: Words of a shingle and the least similarity of a link (fixed by the contract).
 SHINGLE, SIMILARITY = 5, 0.8
 #: Sampling rate of tokens per level, levels of a path, recall of a pair at the threshold.
-LAMBDA, LEVELS, RECALL = 0.6, 3, 0.999
+LAMBDA, LEVELS, RECALL = 0.7, 2, 0.999
 #: Largest bucket compared at once; larger ones are split so many times and then cut in blocks.
 BUCKET, SPLITS = 1000, 2
 #: Members of a component whose sets are verified together; larger ones in pairs of blocks.
@@ -45,8 +45,12 @@ BLOCK = 256
 #: Bits of a sketch, and those that must agree at least (9/10 expected at 0.8, less 4.5 sigma).
 BITS, AGREE = 256, 208
 SALTS = 8
-#: Rows of a broadcast table of large buckets, at most.
+#: Rows of a broadcast table (large buckets; classes whose texts are needed), about 100 bytes each, at most.
 BROADCAST_ROWS = 200_000
+#: Paths (a long each) that are broadcast, at most.
+BROADCAST_PATHS = 1_000_000
+#: Links that a task remembers so as not to give them twice.
+LINKS_KEPT = 200_000
 
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -150,7 +154,7 @@ def similar_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bucket_links(buckets: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a spanning forest of the similar rows in each bucket.
+    """Index pairs (first row, other row) of each tree of similar rows in each bucket.
 
     Rows of a bucket are adjacent. Each row in turn is compared with the rows that are not in
     its tree yet, which are few where many rows are alike.
@@ -171,11 +175,11 @@ def bucket_links(buckets: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray,
             if not len(rest):
                 continue
             hit = rest[similar_pairs(rows[k], rows[rest])]
-            for r in np.unique(root[hit]):
-                j = hit[root[hit] == r][0]
-                a.append(np.array([s + k]))
-                b.append(np.array([s + j]))
-                root[root == r] = root[k]
+            root[np.isin(root, root[hit])] = root[k]
+        for r in np.unique(root):
+            tree = np.flatnonzero(root == r)
+            a.append(np.full(len(tree) - 1, s + tree[0]))
+            b.append(s + tree[1:])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -197,6 +201,8 @@ def compare_buckets(rows: DataFrame) -> DataFrame:
         if kept is not None:
             yield links(kept)
 
+    given: set[tuple[bytes, bytes]] = set()
+
     def links(batch: pd.DataFrame) -> pd.DataFrame:
         if not len(batch):
             return pd.DataFrame({"u": [], "v": []})
@@ -204,9 +210,12 @@ def compare_buckets(rows: DataFrame) -> DataFrame:
         bits = np.frombuffer(b"".join(batch["sketch"]), np.uint64).reshape(len(batch), -1)
         a, b = bucket_links(buckets, bits)
         sigs = batch["sig"].to_numpy()
-        return pd.DataFrame({"u": sigs[a], "v": sigs[b]})
+        new = {(u, v) if u < v else (v, u) for u, v in zip(sigs[a], sigs[b])} - given
+        if len(given) < LINKS_KEPT:
+            given.update(new)
+        return pd.DataFrame(sorted(new), columns=["u", "v"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, LINKS)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "sig").mapInPandas(compare, LINKS)
 
 
 def _paths_of(classes: DataFrame) -> DataFrame:
@@ -225,7 +234,12 @@ def _few(paths: DataFrame, counts: DataFrame, large: bool, n_large: int) -> Data
         wide = big.withColumn("salt", all_salts(SALTS))
         in_big = spread.join(wide, ["path", "salt"]).drop("salt")
         rest = spread.join(wide, ["path", "salt"], "left_anti").drop("salt")
-    return in_big if large else rest.join(counts.filter(F.col("n") <= BUCKET).select("path"), "path", "left_semi")
+    if large:
+        return in_big
+    shared = counts.filter(F.col("n") <= BUCKET).select("path")
+    if shared.count() <= BROADCAST_PATHS:  # else both sides are shuffled
+        shared = F.broadcast(shared)
+    return rest.join(shared, "path", "left_semi")
 
 
 def candidate_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -259,6 +273,9 @@ def candidate_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
 def _with_text(firsts: DataFrame, docs: DataFrame) -> DataFrame:
     """Classes with the text of their first row; a row that repeats it brings it again."""
     texts = docs.select(F.col("doc_id").alias("text_id"), F.col("key").alias("text_key"), "text")
+    firsts = written(firsts, "firsts")
+    if firsts.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+        firsts = F.broadcast(firsts)
     return firsts.join(texts, (F.col("first.key") == F.col("text_key")) & F.col("first.doc_id").eqNullSafe(F.col("text_id")))
 
 
@@ -413,6 +430,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     is_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key") == F.col("key"))
     counted = grouped.groupBy(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), is_first.alias("stays")).agg(F.count(F.lit(1)).alias("n"))
     counted = written(counted.filter("not stays or n > 1"), "leaving")
+    if counted.count() <= BROADCAST_ROWS:  # else the documents are shuffled
+        counted = F.broadcast(counted)
     same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key"))
     rest = rows.join(counted, same, "left_anti").select("row")
     if not counted.filter("stays").isEmpty():  # repeated rows of a first document: one stays
