@@ -43,7 +43,9 @@ READ_BYTES = 8 << 20
 #: Words (of 4 bytes) that the vectorised checksum takes in one row.
 ROW_WORDS = 64
 #: Stretches of text whose ids a worker remembers; the memory is emptied when it is full.
-PIECES_KEPT = 1_200_000
+PIECES_KEPT = 1_600_000
+#: Stretches that the library gets as one text.
+AT_ONCE = 2000
 #: A space between white space, or between white space and the end.
 BETWEEN = re.compile(r"\s (?:\s|\Z)")
 
@@ -185,8 +187,28 @@ class LibraryEncoder:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if max(self.library.get_vocab().values()) < 1 << 16 else "<u4")
+        vocab = self.library.get_vocab()
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():  # a character of a byte-level token is a byte
+            self.bytes_of[i] = len(token)
         self.known: dict[str, bytes] = {}
 
+    def stretches(self, parts: list[str]) -> list[bytes]:
+        """Ids of stretches that begin with a character, each with its space.
+
+        Many go to the library as one text; the bytes of its tokens tell where each ends.
+        """
+        out: list[bytes] = []
+        groups = [[" " + p for p in parts[k : k + AT_ONCE]] for k in range(0, len(parts), AT_ONCE)]
+        for group, got in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, self.type)
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode()) for p in group]), side="left") + 1
+            raw, size, at = ids.tobytes(), self.type.itemsize, 0
+            for end in (ends * size).tolist():
+                out.append(raw[at:end])
+                at = end
+        return out
+
     def whole(self, texts: list[str]) -> list[bytes]:
         pack = struct.Struct
         code = "H" if self.type.itemsize == 2 else "I"
@@ -199,7 +221,8 @@ class LibraryEncoder:
         parts = [None if BETWEEN.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
         new = sorted(set().union(*(p[1:] for p in parts if p)).difference(known))
         passing = {}
-        for part, got in zip(new, self.whole([" " + p for p in new])):
+        plain, odd = [p for p in new if p and not p[0].isspace()], [p for p in new if not p or p[0].isspace()]
+        for part, got in zip([*plain, *odd], [*self.stretches(plain), *self.whole([" " + p for p in odd])]):
             (known if len(part) <= LONGEST_KEPT else passing)[part] = got
         look = known.__getitem__ if not passing else lambda p: known[p] if p in known else passing[p]
         firsts = self.whole([t if p is None else p[0] for t, p in zip(texts, parts)])
