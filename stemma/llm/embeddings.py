@@ -125,6 +125,13 @@ def unit(vector) -> np.ndarray | None:
     return v / norm if norm > 0 else None
 
 
+def units(rows: np.ndarray) -> np.ndarray:
+    """`unit` of all rows of a matrix that `unit` accepts."""
+    x = rows.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 SIGNED = "sig binary, raw binary, filters array<int>"
 
 
@@ -164,7 +171,7 @@ def compare(group: pd.DataFrame, kind: type) -> pd.DataFrame:
     here: the vectors it links with (copies counted) and the least member of its tree.
     """
     here = int(group["number"].iloc[0])
-    x = np.stack([unit(np.frombuffer(r, kind)) for r in group["raw"]])
+    x = units(np.frombuffer(b"".join(group["raw"]), kind).reshape(len(group), -1))
     left = group["left"].to_numpy()
     close = x @ x.T >= COSINE
     np.fill_diagonal(close, False)
@@ -173,9 +180,12 @@ def compare(group: pd.DataFrame, kind: type) -> pd.DataFrame:
     a, b = np.nonzero(np.triu(close))
     if not len(a):
         return pd.DataFrame({"sig": [], "n": [], "root": []})
-    # the least common filter: of two ascending lists, the first entry that both hold
-    filters = group["filters"].to_numpy()
-    own = np.array([len(np.intersect1d(filters[i][filters[i] < here], filters[j][filters[j] < here], assume_unique=True)) == 0 for i, j in zip(a.tolist(), b.tolist())])
+    # a pair counts here if no lesser filter holds both: lists of lesser filters as one bit matrix
+    lesser = [f[f < here] for f in group["filters"]]
+    numbers, column = np.unique(np.concatenate(lesser), return_inverse=True)
+    grid = np.zeros((len(group), len(numbers)), np.float32)
+    grid[np.repeat(np.arange(len(group)), [len(f) for f in lesser]), column] = 1
+    own = (grid @ grid.T)[a, b] == 0
     a, b = a[own], b[own]
     copies = group["copies"].to_numpy()
     n = np.zeros(len(group), np.int64)
