@@ -6,7 +6,8 @@ sampled tokens: it extends a path by each of its tokens whose hash with the path
 Classes with a common path of `LEVELS` tokens form a bucket. Small buckets are compared by
 brute force; larger ones are split by further levels, and what still is large is compared in
 blocks, so that no case is dropped. Runs are repeated (as independent paths) until a pair at
-the threshold is missed with a probability below 1 - RECALL.
+the threshold is missed with a probability below 1 - RECALL, even if all its paths lie in
+large buckets and it has to meet again after every split.
 
 The comparison inside buckets uses 256-bit sketches whose bound misses a pair at the
 threshold with a probability of about 1e-5; what passes makes candidate components, and
@@ -59,10 +60,10 @@ def runs_needed() -> int:
     """Runs after which a pair at the threshold has met with the target probability.
 
     Common extensions of a path are about Poisson with mean SIMILARITY / LAMBDA; q is the
-    probability that some common path survives all levels.
+    probability that some common path survives all levels, those of the splits with them.
     """
     q = 1.0
-    for _ in range(LEVELS):
+    for _ in range(LEVELS * (SPLITS + 1)):
         q = 1 - math.exp(-SIMILARITY / LAMBDA * q)
     return math.ceil(math.log(1 - RECALL) / math.log(1 - q))
 
