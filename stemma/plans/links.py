@@ -149,17 +149,17 @@ def table_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hungarian_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All links of the paragraphs of each small group of documents."""
-    docs = table(spark, sf_dir, "documents").filter("n_chars < 3000").withColumn("block", F.floor(F.col("doc_id") / 10))
+    """All links of the paragraphs of each group of ten documents."""
+    docs = table(spark, sf_dir, "documents").withColumn("block", F.floor(F.col("doc_id") / 10))
     rows = docs.select("block", F.when(F.col("doc_id") % 2 == 0, "old").otherwise("new").alias("edition"), "doc_id", F.posexplode(F.split("text", "\n")).alias("k", "n0"))
-    rows = rows.filter(F.length(F.trim("n0")) > 0).select("block", "edition", (F.col("doc_id") * 1000 + F.col("k")).cast("int").alias("par_ix"), n3(F.col("n0")).alias("text"), compare_key(F.col("n0")).alias("key"))
+    rows = rows.filter(F.length(F.trim("n0")) > 0).select("block", "edition", (F.pmod("doc_id", F.lit(10)) * 100_000_000 + F.col("k")).cast("int").alias("par_ix"), n3(F.col("n0")).alias("text"), compare_key(F.col("n0")).alias("key"))
     links = align.align_paragraphs(rows, ["block"])
     return links.groupBy("kind", "via").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 3).alias("confidence"))
 
 
 def moved_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moves between the removed and new lines of each block of documents."""
-    docs = table(spark, sf_dir, "documents").filter("n_chars < 3000").withColumn("block", F.floor(F.col("doc_id") / 20))
+    docs = table(spark, sf_dir, "documents").withColumn("block", F.floor(F.col("doc_id") / 20))
     rows = docs.select("block", (F.col("doc_id") % 2).alias("side"), "doc_id", F.posexplode(F.split("text", "\n")).alias("k", "n0")).select("block", "side", "doc_id", "k", n3(F.col("n0")).alias("text"))
 
     def pair(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
