@@ -1,13 +1,17 @@
 """Toxicity by a lexicon that is matched with spelling errors and read in context.
 
 The lexicon (terms, and stems that take endings) is learned from labelled documents and held
-in a trie. A word is looked up by running its Levenshtein automaton along the trie, so all
-terms within the allowed edits are found in one walk. Each hit gets a context-window score:
-words of direct address nearby raise it, quotation marks and words of reporting lower it.
-A logistic regression over what a document's hits add up to gives the score.
+in a trie. Words are looked up by running their Levenshtein automata along the trie, so every
+term within the allowed edits is found in one walk; the automata of all new words of some
+texts walk together, as bit masks in arrays, and leave a branch when none of their states
+lives. Each hit gets a context-window score: words of direct address nearby raise it,
+quotation marks and words of reporting lower it. A logistic regression over what a document's
+hits add up to gives the score.
 
 Learning takes at most `SAMPLE_ROWS` labelled documents of either label, chosen by a hash of
-the id: one half teaches the lexicon, the other half the weights.
+the id: one half teaches the lexicon, the other half the weights. In the first half near
+copies (five-word shingles, similarity 0.8 by `HASHES` least hashes of the whole text) count
+once, or else a copied text would make terms of its words.
 
 Defined results: null texts count as empty; an empty text scores as a text without hits; with
 no labels, or one label only, the lexicon is empty and every score is the share of toxic
@@ -27,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.llm.common import id_fold, read_table, small_batches
+from stemma.llm.jaccard import SIMILARITY, mix, shingle_sets
 from stemma.llm.language import fit_linear
 
 #: Labelled documents of either label that are learned from, at most.
@@ -41,6 +46,10 @@ ONE_EDIT, TWO_EDITS = 5, 9
 WINDOW = 4
 #: Words a worker remembers the look-up of; the memory is emptied when it is full.
 WORDS_KEPT = 500_000
+#: Characters of texts whose new words are looked up together, and the words from which that pays.
+TOGETHER_CHARS, TOGETHER_WORDS = 1 << 20, 64
+#: Least hashes by which near copies in the sample are told.
+HASHES = 64
 HELD_OUT, FOLDS = 0, 5
 
 #: Words of direct address, and words of reporting another's speech, in four languages.
@@ -55,41 +64,59 @@ TOKEN = regex.compile(r"[\p{L}\p{M}]+|[\"“”„«»‹›]")
 # ---------------------------------------------------------------- automata and trie
 
 
+def allowed_edits(letters: int) -> int:
+    """Edits that a term of so many letters allows."""
+    return 2 if letters >= TWO_EDITS else 1 if letters >= ONE_EDIT else 0
+
+
 class Trie:
-    """Terms by letters; a node is [children, entry or -1, whether any ending is accepted]."""
+    """Terms by letters; a node is [children, entry or -1, whether any ending is accepted, edits below]."""
 
     def __init__(self, terms: list[str], stems: list[str]):
-        self.root: list = [{}, -1, False]
+        self.root: list = [{}, -1, False, 0]
         self.terms = [*terms, *stems]
         for k, term in enumerate(self.terms):
+            edits = 0 if k >= len(terms) else allowed_edits(len(term))
             node = self.root
+            node[3] = max(node[3], edits)
             for c in term:
-                node = node[0].setdefault(c, [{}, -1, False])
+                node = node[0].setdefault(c, [{}, -1, False, 0])
+                node[3] = max(node[3], edits)
             if node[1] < 0:
                 node[1] = k
             node[2] |= k >= len(terms)
-        fuzzy = [t for t in terms if len(t) >= ONE_EDIT]
-        self.begins, self.ends = {t[: len(t) // 2] for t in fuzzy}, {t[len(t) // 2 :] for t in fuzzy}
-        self.halves = sorted({len(t) // 2 for t in fuzzy}), sorted({len(t) - len(t) // 2 for t in fuzzy})
         self.plain, self.stem_set = set(terms), set(stems)
         self.stem_sizes = sorted({len(s) for s in stems})
-        self.longest = max([len(t) for t in fuzzy], default=0)
+        self.longest = max([len(t) for t in terms if len(t) >= ONE_EDIT], default=0)
 
     def lookup(self, word: str) -> int:
-        """0: no entry; 1: a term as it is; 2: a stem with an ending; 3 or 4: a term but for 1 or 2 edits.
+        """0: no entry; 1: a term as it is; 2: a stem with an ending; 3 or 4: a term but for 1 or 2 edits."""
+        known = self._spelled(word)
+        return known if known is not None else self._kind(self.nearest(word))
+
+    def lookup_all(self, words: list[str]) -> list[int]:
+        """`lookup` of many words, whose automata walk the trie together."""
+        out = [self._spelled(w) for w in words]
+        rest = [k for k, kind in enumerate(out) if kind is None]
+        if len(rest) < TOGETHER_WORDS:
+            found = [self.nearest(words[k]) for k in rest]
+        else:
+            found = self.nearest_all([words[k] for k in rest])
+        for k, edits in zip(rest, found):
+            out[k] = self._kind(edits)
+        return out
 
-        One edit always leaves one half of a term intact; two edits count where they do.
-        """
+    def _spelled(self, word: str) -> int | None:
+        """What a word is without its automaton; None if that has to decide."""
         if word in self.plain:
             return 1
         if any(word[:n] in self.stem_set for n in self.stem_sizes):
             return 2
-        if not ONE_EDIT - 1 <= len(word) <= self.longest + 2:
-            return 0
-        if not any(word[:n] in self.begins for n in self.halves[0]) and not any(word[-n:] in self.ends for n in self.halves[1]):
-            return 0
-        edits = self.nearest(word)
-        return 0 if edits is None else 2 + edits
+        return None if ONE_EDIT - 1 <= len(word) <= self.longest + 2 else 0
+
+    @staticmethod
+    def _kind(edits: int | None) -> int:
+        return 2 + edits if edits else 0
 
     def nearest(self, word: str) -> int | None:
         """Least edits to a term that allows them: the word's Levenshtein automaton on the trie.
@@ -109,18 +136,62 @@ class Trie:
                 s0 = (r0 & m) << 1
                 s1 = (r1 & m) << 1 | r0 | r0 << 1 | s0 << 1
                 s2 = (r2 & m) << 1 | r1 | r1 << 1 | s1 << 1
-                if not s2 & (accept * 2 - 1):
+                if not (s2 if child[3] == 2 else s1 if child[3] else 0) & (accept * 2 - 1):
                     continue
                 if child[1] >= 0 and not child[2] and depth >= ONE_EDIT:
                     edits = 1 if s1 & accept else 2 if s2 & accept and depth >= TWO_EDITS else None
                     if edits and (best is None or edits < best):
-                        term = self.terms[child[1]]
-                        if word.startswith(term[: depth // 2]) or word.endswith(term[depth // 2 :]):
-                            best = edits
+                        best = edits
                 if child[0]:
                     stack.append((child, s0, s1, s2, depth))
         return best
 
+    def nearest_all(self, words: list[str]) -> list[int]:
+        """`nearest` of many words of at most `longest` + 2 letters, 0 for none: one walk for all.
+
+        Masks are of 64 bits; as terms have at most 40 letters, so have words that reach them.
+        """
+        one = np.uint64(1)
+        sizes = np.array([len(w) for w in words], np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        of_word = np.repeat(np.arange(len(words)), sizes)
+        bit = one << (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint64)
+        accept = one << sizes.astype(np.uint64)
+        inside = (accept << one) - one
+        masks: dict[str, np.ndarray] = {}
+        order = np.argsort(codes, kind="stable")
+        cuts = np.flatnonzero(np.diff(codes[order])) + 1
+        for some in np.split(order, cuts):
+            mask = masks[chr(codes[some[0]])] = np.zeros(len(words), np.uint64)
+            np.bitwise_or.at(mask, of_word[some], bit[some])
+        none = np.zeros(len(words), np.uint64)
+        best = np.full(len(words), 3, np.int64)
+        start = np.ones(len(words), np.uint64)
+        stack = [(self.root, np.arange(len(words)), start, start * np.uint64(3), start * np.uint64(7), 0)]
+        while stack:
+            node, rows, r0, r1, r2, depth = stack.pop()
+            depth += 1
+            for c, child in node[0].items():
+                if not child[3]:
+                    continue
+                m = masks.get(c, none)[rows]
+                s0 = (r0 & m) << one
+                s1 = (r1 & m) << one | r0 | r0 << one | s0 << one
+                s2 = (r2 & m) << one | r1 | r1 << one | s1 << one if child[3] == 2 else s1
+                live = np.flatnonzero(s2 & inside[rows])
+                if not len(live):
+                    continue
+                here, s0, s1, s2 = rows[live], s0[live], s1[live], s2[live]
+                if child[1] >= 0 and not child[2] and depth >= ONE_EDIT:
+                    ends = accept[here]
+                    if depth >= TWO_EDITS:
+                        two = here[(s2 & ends) != 0]
+                        best[two] = np.minimum(best[two], 2)
+                    best[here[(s1 & ends) != 0]] = 1
+                if child[0]:
+                    stack.append((child, here, s0, s1, s2, depth))
+        return np.where(best < 3, best, 0).tolist()
+
 
 class _Known(dict):
     def __init__(self, trie: Trie):
@@ -133,6 +204,13 @@ class _Known(dict):
         found = self[word] = self.trie.lookup(word) if word not in QUOTES else 0
         return found
 
+    def learn(self, words: set[str]) -> None:
+        """Look up all words that are not known yet."""
+        new = sorted(w for w in words if w not in self and w not in QUOTES)
+        if len(self) + len(new) > WORDS_KEPT:
+            self.clear()
+        self.update(zip(new, self.trie.lookup_all(new)))
+
 
 # ---------------------------------------------------------------- scoring
 
@@ -144,13 +222,10 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
 
-    def features(self, text: str | None) -> list[float]:
-        return features(text, _known(tuple(self.terms), tuple(self.stems)))
-
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        z = np.array([self.features(t) for t in texts]) @ self.weights + self.bias
+        z = np.array(features_of(texts, _known(tuple(self.terms), tuple(self.stems)))) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -175,9 +250,25 @@ def window_score(tokens: list[str], at: int, quoted: bool) -> float:
     return max(0.1, score * 0.5 ** min(reporting, 2))
 
 
+def features_of(texts: list[str | None], known: _Known) -> list[list[float]]:
+    """`features` of many texts; new words of about `TOGETHER_CHARS` of text are looked up at once."""
+    out, some, size = [], [], 0
+    for k, text in enumerate(texts):
+        some.append(TOKEN.findall((text or "").lower()))
+        size += len(text or "")
+        if size >= TOGETHER_CHARS or k == len(texts) - 1:
+            known.learn({w for tokens in some for w in tokens})
+            out += [_features(tokens, known) for tokens in some]
+            some, size = [], 0
+    return out
+
+
 def features(text: str | None, known: _Known) -> list[float]:
     """Sums over the hits of a text: exact, stem and misspelled ones, by context, and density."""
-    tokens = TOKEN.findall((text or "").lower())
+    return features_of([text], known)[0]
+
+
+def _features(tokens: list[str], known: _Known) -> list[float]:
     kinds = list(map(known.__getitem__, tokens))
     if not any(kinds):
         return [0.0] * 6
@@ -212,14 +303,37 @@ def _sample(labelled: DataFrame, rows: int) -> DataFrame:
     return labelled.filter(chosen).select("doc_id", "toxic", half.alias("half")).limit(3 * rows)
 
 
-def learn_lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
-    """Terms and stems that mark toxic texts, from (text, toxic) rows.
+_SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
+
 
-    Copies and near copies count once, or else a copied text would make terms of its words:
-    texts whose words have the same least hash stand for one.
-    """
-    hashed = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)), lambda w: F.xxhash64(w))
-    rows = rows.groupBy(F.coalesce(F.array_min(hashed), F.lit(0)).alias("sketch"), "toxic").agg(F.min("text").alias("text")).drop("sketch")
+def least_hashes(text: Column) -> Column:
+    """The least of each of `HASHES` hashes of the shingles of a whole text, as bytes."""
+
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        out = []
+        for tokens in shingle_sets(list(texts)):
+            least = np.full(HASHES, np.uint64(2**64 - 1))
+            for some in np.array_split(tokens, max(1, len(tokens) >> 12)):
+                least = np.minimum(least, mix(some[:, None] ^ _SEEDS[None, :]).min(0, initial=np.uint64(2**64 - 1)))
+            out.append((least >> np.uint64(32)).astype(np.uint32).tobytes())
+        return pd.Series(out)
+
+    return of(text)
+
+
+def first_of_copies(sketches: list[bytes]) -> list[int]:
+    """Places of the rows that are no near copy of a row kept before them."""
+    rows = np.frombuffer(b"".join(sketches), np.uint32).reshape(len(sketches), HASHES)
+    kept: list[int] = []
+    for k in range(len(rows)):
+        if not kept or (rows[kept] == rows[k]).mean(1).max() < SIMILARITY:
+            kept.append(k)
+    return kept
+
+
+def learn_lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
+    """Terms and stems that mark toxic texts, from (text, toxic) rows without copies."""
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals.get(1) or not totals.get(0):
         return [], []
@@ -259,12 +373,18 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, rows: int = SAM
     ids = F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int, half int"))  # bounded by `rows`
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
     sample = sample.groupBy("doc_id", "toxic", "half").agg(F.min("text").alias("text")).cache()  # one text an id
-    terms, stems = learn_lexicon(sample.filter("half = 0").select("text", "toxic"))
+    teaching = sample.filter("half = 0")
+    sketches = teaching.select("doc_id", "toxic", least_hashes(F.col("text")).alias("least")).orderBy("doc_id").collect()  # bounded by `rows`
+    apart = []
+    for toxic in (0, 1):
+        of_label = [r for r in sketches if r["toxic"] == toxic]
+        apart += [(of_label[k]["doc_id"],) for k in first_of_copies([bytes(r["least"]) for r in of_label])]
+    once = teaching.join(F.broadcast(spark.createDataFrame(apart, "doc_id long")), "doc_id")
+    terms, stems = learn_lexicon(once.select("text", "toxic"))
 
     @F.pandas_udf("array<double>")
     def found(texts: pd.Series) -> pd.Series:
-        known = _known(tuple(terms), tuple(stems))
-        return pd.Series([features(t, known) for t in texts])
+        return pd.Series(features_of(list(texts), _known(tuple(terms), tuple(stems))))
 
     got = sample.filter("half = 1").select("toxic", found("text").alias("f")).toPandas()
     sample.unpersist()
