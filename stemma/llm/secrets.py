@@ -8,11 +8,14 @@ whose spans lie within `SCOPE` code points. Bins as wide as the scope make that
 as spans do not overlap, a bin holds a bounded number of them, however long the text.
 
 Everything is DataFrame functions; positions are code points, end exclusive. Starts come from
-the lengths of what lies between the matches, so a text is read once per pattern.
+the lengths of what lies between the matches, so a text is read once per pattern; sums over
+many matches go in chunks (`folded`), and masking goes in blocks of the text, so the work
+grows with the text and not with the square of its matches.
 
 Defined results: null text counts as empty; an empty text has no spans, the digest of the
-empty string and empty `spans`; repeated rows each get their row (links are found per
-distinct row); empty tables give empty results; other columns are ignored.
+empty string and empty `spans`; spans of one start are ordered by kind, then end; repeated
+rows each get their row (links are found per distinct row); empty tables give empty results;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +41,36 @@ SCOPE = 240
 #: Kinds in the order of ties; the base ones first.
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_id", "endpoint")
 SPAN = "struct<start:int,kind:int,end:int,value:int>"
+#: Items of an array that are folded at once, and code points of a block of text that is masked.
+CHUNK, BLOCK = 128, 2048
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def folded(items: Column, zero: Column, step, emit, none: Column) -> Column:
+    """Array of emit(state, item) over an array, where step(state, item) is the next state.
+
+    Spark's arrays grow by copying, so a plain fold that appends costs the square of its
+    length. Here the states at the heads of chunks are found first; then each chunk is folded
+    by itself.
+    """
+
+    def chunks(all_items: Column) -> Column:
+        heads = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(all_items) / CHUNK).cast("int") - 1, F.lit(0)))
+        return F.transform(heads, lambda k: F.slice(all_items, k * CHUNK + 1, CHUNK))
+
+    def states(parts: Column) -> Column:
+        start = F.struct(zero.alias("now"), F.slice(F.array(zero), 1, 0).alias("heads"))
+        return F.aggregate(parts, start, lambda s, part: F.struct(F.aggregate(part, s["now"], step).alias("now"), F.concat(s["heads"], F.array(s["now"])).alias("heads")), lambda s: s["heads"])
+
+    def within(part: Column, head: Column) -> Column:
+        start = F.struct(head.alias("now"), none.alias("out"))
+        return F.aggregate(part, start, lambda s, x: F.struct(step(s["now"], x).alias("now"), F.concat(s["out"], F.array(emit(s["now"], x))).alias("out")), lambda s: s["out"])
+
+    return let(items, lambda all_items: let(chunks(all_items), lambda parts: F.flatten(F.zip_with(parts, states(parts), within))))
 
 
 def matches(text: Column, pattern: str, kind: str, value_group: bool = False, fold: bool = False) -> Column:
@@ -51,16 +84,17 @@ def matches(text: Column, pattern: str, kind: str, value_group: bool = False, fo
     between = F.split(text, regex, -1)
     number = KINDS.index(kind)
 
-    def add(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["between"])
-        end = start + F.length(pair["found"])
+    def after(at: Column, pair: Column) -> Column:
+        return at + F.length(pair["between"]) + F.length(pair["found"])
+
+    def span(at: Column, pair: Column) -> Column:
+        start, end = at + F.length(pair["between"]), after(at, pair)
         value = F.length(F.regexp_extract(pair["found"], regex, 2)) if value_group else end - start
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        return F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), value.alias("value"))
 
-    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("between"), found.alias("found"))
+    pairs = let(found, lambda f: F.arrays_zip(F.slice(between, F.lit(1), F.size(f)).alias("between"), f.alias("found")))
     none = F.expr(f"cast(array() as array<{SPAN}>)")
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda s: s["spans"])
+    walked = folded(pairs, F.lit(0), after, span, none)
     return F.when(text.rlike(regex), walked).otherwise(none)
 
 
@@ -155,6 +189,40 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with each ordered span that starts behind all before it as the mask, and what overlaps gone.
+
+    What stays lies between the spans. It is cut out of blocks of the text, as a code point of
+    a string is only found by walking there.
+    """
+    gap = "struct<from:int,to:int,mask:boolean>"
+
+    def reach(at: Column, span: Column) -> Column:
+        return F.greatest(at, span["end"])
+
+    def before(at: Column, span: Column) -> Column:
+        return F.struct(at.alias("from"), F.greatest(at, span["start"]).alias("to"), (span["start"] >= at).alias("mask"))
+
+    none = F.expr(f"cast(array() as array<{gap}>)")
+    behind = F.struct(F.aggregate(spans, F.lit(0), reach).alias("from"), F.length(text).alias("to"), F.lit(False).alias("mask"))
+    gaps = F.concat(folded(spans, F.lit(0), reach, before, none), F.array(behind))
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def piece(parts: Column, begin: Column, end: Column) -> Column:
+        first, last = F.floor(begin / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+
+        def cut(k: Column) -> Column:
+            left = F.greatest(begin - k * BLOCK, F.lit(0))
+            return F.substring(F.element_at(parts, k + 1), left + 1, F.least(end - k * BLOCK, F.lit(BLOCK)) - left)
+
+        return F.when(end > begin, F.array_join(F.transform(F.sequence(first, last), cut), "")).otherwise("")
+
+    def with_mask(parts: Column, g: Column) -> Column:
+        return F.concat(piece(parts, g["from"], g["to"]), F.when(g["mask"], F.lit(mask)).otherwise(""))
+
+    return let(blocks, lambda parts: F.array_join(F.transform(gaps, lambda g: with_mask(parts, g)), ""))
+
+
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """The rows with every base secret and every weak secret of a linked credential masked.
 
@@ -171,16 +239,10 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     spans = hits.select(key, secret.alias("spans")).filter(F.size("spans") > 0).dropDuplicates([key])
     names = docs.columns
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), row_key.alias(key)).join(spans, key, "left")
-    text = F.col("row.text")
-
-    def add(state: Column, span: Column) -> Column:
-        keep = F.substring(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
-        fresh = span["start"] >= state["at"]
-        out = F.concat(state["out"], F.when(fresh, F.concat(keep, F.lit(mask))).otherwise(F.lit("")))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
-
-    masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    new = F.when(F.size("spans") > 0, masked).otherwise(text)
+    masked_text = F.when(F.size("spans") > 0, masked(F.col("row.text"), F.col("spans"), mask)).otherwise(F.col("row.text"))
+    # made by a generator, so that Python functions that follow take a column and not all of this
+    inner = inner.select("row", "spans", F.explode(F.array(masked_text)).alias("new"))
+    new = F.col("new")
     changed = F.size("spans") > 0
     columns = []
     for c in names:
