@@ -2,9 +2,11 @@
 
 The words of a batch of documents form a shard with a suffix array (prefix doubling over word
 ranks). Every suffix of a benchmark item is binary-searched in it by its window, i.e. its
-first `WINDOW` words, which gives all its places in the shard; places that follow each other
-on one diagonal join into the longest verbatim matches. Only stretches of at least a window
-of words that some item knows enter the suffix array, as no window can lie elsewhere.
+first `WINDOW` words, which gives all its places in the shard. Only stretches of at least a
+window of words that some item knows enter the suffix array, as no window can lie elsewhere.
+At the places found, the longest verbatim matches come from the benchmark block's own suffix
+array, whose ranges are narrowed by ever shorter powers of two of words; so a window that
+repeats a thousand times in an item and in a document costs their sum, not their product.
 
 The benchmark is cut into blocks that tasks write to the shared folder, and a worker reads
 one block after the other, so neither the driver nor a worker ever holds a benchmark of
@@ -87,26 +89,97 @@ class Block:
         self.items = items
         self.vocabulary = np.unique(hashes)
         ids = (np.searchsorted(self.vocabulary, hashes) + 1).astype(np.int32)
-        rows, item, offset, width = [], [], [], []
+        rows, item = [], []
         at = 0
         for k, n in enumerate(counts.tolist()):
             if n:
                 w = min(WINDOW, n)
-                grid = np.lib.stride_tricks.sliding_window_view(ids[at : at + n], w)
+                grid = np.unique(np.lib.stride_tricks.sliding_window_view(ids[at : at + n], w), axis=0)
                 rows.append(np.pad(grid, ((0, 0), (0, WINDOW - w))))
-                item += [k] * len(grid)
-                offset += range(len(grid))
-                width += [w] * len(grid)
+                item.append(np.full(len(grid), k))
             at += n
         grid = np.concatenate(rows) if rows else np.zeros((0, WINDOW), np.int32)
-        # equal windows are searched once; `order` lists where each comes from
+        item = np.concatenate(item) if item else np.zeros(0, np.int64)
+        # equal windows are searched once, and windows of the same items share one set of them
         self.windows, which = np.unique(grid, axis=0, return_inverse=True)
-        which = which.reshape(-1)
-        self.order = np.argsort(which, kind="stable")
-        self.first = np.searchsorted(which[self.order], np.arange(len(self.windows) + 1))
-        self.item, self.offset = np.array(item, np.int64), np.array(offset, np.int64)
+        order = np.argsort(which.reshape(-1), kind="stable")
+        cuts = np.searchsorted(which.reshape(-1)[order], np.arange(1, len(self.windows)))
+        known: dict[bytes, int] = {}
+        self.sets: list[np.ndarray] = []
+        self.set_of = np.zeros(len(self.windows), np.int64)
+        for k, some in enumerate(np.split(item[order], cuts) if len(self.windows) else []):
+            key = some.tobytes()
+            if key not in known:
+                known[key] = len(self.sets)
+                self.sets.append(some)
+            self.set_of[k] = known[key]
+        self.by_name = sorted(range(len(items)), key=items.__getitem__)
+        self.name_rank = np.zeros(len(items), np.int64)
+        self.name_rank[self.by_name] = np.arange(len(items))
         self.width = (self.windows > 0).sum(1)
         self.least = int(self.width.min()) if len(self.windows) else WINDOW
+        self.ids, self.counts = ids, counts
+        self._ranks: list[np.ndarray] = []
+        self._pairs: list[np.ndarray] = []
+
+    def _index(self) -> None:
+        """Ranks of all words' followers by powers of two, and the suffix array; made at need.
+
+        The items stand one after the other with a 0 behind each, which no document word equals.
+        """
+        ends = np.cumsum(self.counts)
+        self.owner = np.repeat(np.arange(len(self.counts)), np.asarray(self.counts) + 1)
+        text = np.insert(self.ids, ends, 0).astype(np.int64)
+        self._ranks, self._pairs = [text], []
+        step = 1
+        while step < int(max(self.counts)):
+            rank = self._ranks[-1]
+            key = rank * (int(rank.max()) + 1) + np.concatenate([rank[step:], np.zeros(min(step, len(rank)), np.int64)])[: len(rank)]
+            pairs, new = np.unique(key, return_inverse=True)
+            self._pairs.append(pairs)
+            self._ranks.append(new.reshape(-1) + 1)
+            step *= 2
+        self.suffixes = np.argsort(self._ranks[-1], kind="stable")
+
+    def longest(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For places in words (0 ends a stretch): words of the longest match with an item, and the
+        range of the suffix array that holds it."""
+        if not self._ranks:
+            self._index()
+        queries, step = [words.astype(np.int64)], 1
+        for pairs, rank in zip(self._pairs, self._ranks):
+            q = queries[-1]
+            after = np.concatenate([q[step:], np.zeros(min(step, len(q)), np.int64)])[: len(q)]
+            key = q * (int(rank.max()) + 1) + after
+            found = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+            queries.append(np.where((q > 0) & (after > 0) & (pairs[found] == key), found + 1, 0))
+            step *= 2
+        size = np.zeros(len(at), np.int64)
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.suffixes), np.int64)
+        for k in range(len(queries) - 1, -1, -1):
+            place = at + size
+            want = np.where(place < len(words), queries[k][np.minimum(place, len(words) - 1)], 0)
+            try_ = np.flatnonzero(want)
+            rank = np.concatenate([self._ranks[k], np.zeros(int(max(self.counts)) + 1, np.int64)])
+
+            def bound(upper: bool) -> np.ndarray:
+                a, b = low[try_].copy(), high[try_].copy()
+                while len(live := np.flatnonzero(a < b)):
+                    middle = (a[live] + b[live]) // 2
+                    value = rank[self.suffixes[middle] + size[try_[live]]]
+                    right = (value < want[try_[live]]) | ((value == want[try_[live]]) & upper)
+                    a[live[right]] = middle[right] + 1
+                    b[live[~right]] = middle[~right]
+                return a
+
+            first, last = bound(False), bound(True)
+            hit = last > first
+            low[try_[hit]], high[try_[hit]] = first[hit], last[hit]
+            size[try_[hit]] += 1 << k
+        return size, low, high
+
+    def least_item(self, ranks: np.ndarray) -> str:
+        return self.items[self.by_name[int(ranks.min())]]
 
 
 def write_blocks(benchmark: DataFrame, target: str) -> list[str]:
@@ -238,26 +311,24 @@ class Hits:
             return
         n = high[found] - low[found]
         window = np.repeat(found, n)
-        at = place[order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[found], n)]]
+        spot = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[found], n)]
+        at = place[spot]
         np.add.at(self.cover, at, 1)
         np.add.at(self.cover, at + block.width[window], -1)
-        # every place with every item the window comes from
-        m = block.first[window + 1] - block.first[window]
-        source = block.order[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(block.first[window], m)]
-        at, width = np.repeat(at, m), np.repeat(block.width[window], m)
-        item, offset = block.item[source], block.offset[source]
         doc = np.searchsorted(self.ends, at, side="right")
-        # places that follow each other on one diagonal of document and item are one match
-        line = np.lexsort((at, at - offset, item, doc))
-        doc, item, at, offset, width = doc[line], item[line], at[line], offset[line], width[line]
-        new = np.ones(len(at), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - offset[1:] != at[:-1] - offset[:-1]) | (at[1:] != at[:-1] + 1)
-        head = np.flatnonzero(new)
-        length = np.diff(np.concatenate([head, [len(at)]])) - 1 + width[head]
-        for d, i, a, size in zip(doc[head].tolist(), item[head].tolist(), at[head].tolist(), length.tolist()):
-            name = block.items[i]
-            self.items[d].add(name)
-            match = (size, name, a - int(self.ends[d] - self.counts[d]))
+        for d, k in np.unique(np.stack([doc, block.set_of[window]]), axis=1).T.tolist():
+            self.items[d].update(block.items[i] for i in block.sets[k])
+        # the longest match of each document: the first place of its most words, and the least item there
+        size, full = block.width[window].copy(), np.flatnonzero(block.width[window] == WINDOW)
+        ranges = np.zeros((2, len(at)), np.int64)
+        if len(full):
+            size[full], ranges[0, full], ranges[1, full] = block.longest(words, spot[full])
+        by = np.lexsort((at, -size, doc))
+        for k in by[np.flatnonzero(np.diff(doc[by], prepend=-1))].tolist():
+            low, high = ranges[:, k].tolist()
+            holders = block.owner[block.suffixes[low:high]] if high else block.sets[block.set_of[window[k]]]
+            d = int(doc[k])
+            match = (int(size[k]), block.least_item(block.name_rank[holders]), int(at[k]) - int(self.ends[d] - self.counts[d]))
             if (-match[0], match[2], match[1]) < (-self.longest[d][0], self.longest[d][2], self.longest[d][1]):
                 self.longest[d] = match
 
