@@ -31,9 +31,16 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared folder of the cluster (own one only where unset)."""
+    """A fresh folder below the shared folder of the cluster.
+
+    One of this machine's own is made only where the setting is missing and everything runs in
+    one process, as in tests; executors elsewhere could not see it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="stemma-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -22,7 +22,8 @@ def _with_least(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node reachable by links, for every node that has one.
 
-    Takes (u, v) of any orderable type. Large-star and small-star rounds alternate until
+    Takes (u, v) of any orderable type; links with a null node, links of a node with itself and
+    repeated links add nothing, and a table without links gives an empty result. Large-star and small-star rounds alternate until
     every node points at its least node; rounds grow with the logarithm of the longest
     chain. Each round is written to the shared folder, so lost executors cost one round.
     """

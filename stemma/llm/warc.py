@@ -199,7 +199,10 @@ def with_originals(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, target: str) -> list[str]:
     """Write one archive per task; returns their paths (a row per task comes to the driver)."""
     small_batches(pages.sparkSession)
-    some = pages.select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("h")).limit(SAMPLE_ROWS).collect()
+    share = SAMPLE_ROWS / max(1, pages.count())  # chosen by a hash, so archives of one table are alike
+    place = F.xxhash64("page_id", "url").cast("double") / F.lit(2.0**64) + 0.5
+    some = pages.filter(place <= share).select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("h")).limit(2 * SAMPLE_ROWS).collect()
+    some.sort(key=lambda r: r["h"])
     samples = [record("response", k, "", r["h"].encode(), None) for k, r in enumerate(some) if r["h"]]
     dictionary = train(samples)
 
