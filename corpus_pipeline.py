@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the rows it keeps, with the columns of
 documents; the last returns token digests. Each stage works on all its predecessor kept.
+
+Defined results: null and empty texts and texts without a letter leave in the first stage; rows
+that repeat an id and a text are copies, of which one stays; among equally good firsts of a
+group the least id stays, null ids last; further columns of documents are kept to the last
+stage, whatever their names; empty documents give an empty result, and an empty or null-only
+benchmark contaminates nothing. Texts are read whole.
 """
 
 from __future__ import annotations
