@@ -1,32 +1,39 @@
 """Embedding near-duplicates by spherical-cap filters.
 
 The space is cut into `PARTS` blocks of coordinates after a random rotation; each block has a
-code of `CODE` random unit vectors, and a filter direction is one codeword per block (a
-random product code), so CODE ** PARTS structured directions stand for random ones. A vector
-belongs to every filter whose cap it lies in, i.e. whose direction's inner product with it
-exceeds the cap's height; list decoding finds these without trying all: codewords of each
-block are sorted by their products, and partial sums that cannot reach the height any more
-end the walk. Vectors join on filters, and pairs of one filter are verified by cosine in
-double precision.
-
-Vectors with equal components are one class and are compared once. A pair that meets in
-several filters is counted in the least one that both have, so links need no distinct. Large
-filters are compared in pairs of blocks; nothing is capped.
+code of random unit vectors, and a filter direction is one codeword per block (a random
+product code), so few codewords stand for many random directions. A vector belongs to every
+filter whose cap it lies in, i.e. whose direction's inner product with it exceeds the cap's
+height; list decoding finds these without trying all: sums of the first blocks that cannot
+reach the height any more end the walk, and the last block's codewords are taken from a
+sorted list. Vectors join on filters.
+
+The number of directions and the height follow from the number of vectors: a filter holds
+about `MEMBERS` random vectors and a vector lies in about `FILTERS` filters at every size of
+the table, so the work grows with the table and not with its square.
+
+What is dealt to the filters is a vector in bytes (8 bits a component) with a bound of its
+error. Pairs that reach the cosine within the bound make candidate components, and within
+these all pairs are verified by cosine in double precision on the vectors themselves, read
+anew. Vectors with equal components are one class and are compared once. Large filters and
+components are compared in pairs of blocks; nothing is capped.
 
 Defined results: vectors that are null or empty, have null or non-finite components, or are
 zero, link with nothing and are their own component; vectors of different lengths never link;
 rows that repeat a vec_id are vectors of their own; null ids come last; other columns are
-ignored.
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.llm.common import all_salts, read_table, salt, small_batches, written
@@ -34,83 +41,103 @@ from stemma.llm.graph import components
 
 #: Least cosine of a link (fixed by the contract).
 COSINE = 0.95
-#: Blocks of the product code, codewords of one block, and independent rotations.
-PARTS, CODE, ROTATIONS = 2, 64, 6
-#: Height of a cap, as the share of directions that a random vector's caps hold.
-SHARE = 1.0e-3
-#: Members of a filter compared at once; larger ones in pairs of blocks.
+#: Filters of a vector in all rotations together, and random vectors in a filter, about.
+FILTERS, MEMBERS = 6, 32
+#: Rotations of a table of up to FEW vectors; one more for every tenfold of that.
+ROTATIONS, FEW = 8, 10_000
+#: Blocks of the product code, and codewords of a block from which a block more is taken.
+PARTS, MANY_WORDS = 2, 2048
+#: The share of directions that a vector's caps hold in a small table.
+LARGEST_SHARE = 0.02
+#: Members of a filter or component compared at once; larger ones in pairs of blocks.
 BLOCK = 512
+#: Rows of a broadcast table (large filters, members of components), about 100 bytes each, at most.
+BROADCAST_ROWS = 200_000
+#: Links that a task remembers so as not to give them twice.
+LINKS_KEPT = 200_000
 SALTS = 8
 
 
+def cap_height(length: int, share: float) -> float:
+    """Inner product with a direction that this share of all unit vectors of a length exceeds."""
+    x = np.linspace(-1, 1, 400_001)[1:-1]
+    density = np.cumsum((1 - x * x) ** ((max(length, 3) - 3) / 2))
+    return float(x[np.searchsorted(density, (1 - share) * density[-1])])
+
+
 class ProductCode:
-    """Filter directions of one rotation for vectors of one length."""
+    """Filter directions of one rotation for vectors of one length in a table of so many rows."""
 
-    def __init__(self, length: int, rotation: int):
+    def __init__(self, length: int, rows: int, rotation: int, rotations: int):
         rng = np.random.default_rng([length, rotation, 6])
+        share = min(LARGEST_SHARE, MEMBERS / max(1, rows))
+        directions = FILTERS / rotations / share
         self.parts = max(1, min(PARTS, length // 2))
+        while directions ** (1 / self.parts) > MANY_WORDS and self.parts < length // 2:
+            self.parts += 1
+        self.words = max(4, math.ceil(directions ** (1 / self.parts)))
         self.turn = np.linalg.qr(rng.standard_normal((length, length)))[0]
         self.cuts = np.linspace(0, length, self.parts + 1).astype(int)
         self.codes = []
         for a, b in zip(self.cuts, self.cuts[1:]):
-            code = rng.standard_normal((CODE, b - a))
+            code = rng.standard_normal((self.words, b - a))
             self.codes.append(code / np.linalg.norm(code, axis=1, keepdims=True) / math.sqrt(self.parts))
-        # the height that so small a share of random unit vectors' directions exceeds
-        some = rng.standard_normal((512, length))
-        some /= np.linalg.norm(some, axis=1, keepdims=True)
-        sums = self._products(some)
-        total = sums[0]
-        for s in sums[1:]:
-            total = (total[:, :, None] + s[:, None, :]).reshape(len(some), -1)
-        self.height = float(np.quantile(total, 1 - SHARE))
-
-    def _products(self, x: np.ndarray) -> list[np.ndarray]:
-        y = x @ self.turn
-        return [y[:, a:b] @ c.T for a, b, c in zip(self.cuts, self.cuts[1:], self.codes)]
+        self.height = cap_height(length, share)
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
         """For each row the numbers of all directions above the height; the best one if none is."""
-        sums = self._products(x)
+        y = x @ self.turn
+        sums = [y[:, a:b] @ c.T for a, b, c in zip(self.cuts, self.cuts[1:], self.codes)]
         rest = np.cumsum([s.max(1) for s in sums][::-1], axis=0)[::-1]  # most that later blocks add
+        order = np.argsort(-sums[-1], axis=1, kind="stable")
+        ranked = np.take_along_axis(sums[-1], order, axis=1)
         out = []
         for k in range(len(x)):
-            partial, number = sums[0][k], np.arange(CODE)
-            for p in range(1, self.parts):
-                live = partial + rest[p][k] >= self.height
-                partial, number = partial[live], number[live]
+            partial, number = np.zeros(1), np.zeros(1, np.int64)
+            for p in range(self.parts - 1):
                 partial = (partial[:, None] + sums[p][k][None, :]).reshape(-1)
-                number = (number[:, None] * CODE + np.arange(CODE)[None, :]).reshape(-1)
-            chosen = number[partial >= self.height]
+                number = (number[:, None] * self.words + np.arange(self.words)[None, :]).reshape(-1)
+                live = partial + rest[p + 1][k] >= self.height
+                partial, number = partial[live], number[live]
+            n = np.searchsorted(-ranked[k], partial - self.height, side="right")
+            heads = np.repeat(np.cumsum(n) - n, n)
+            chosen = np.repeat(number, n) * self.words + order[k][np.arange(int(n.sum())) - heads]
             if not len(chosen):
                 best = 0
                 for s in sums:
-                    best = best * CODE + int(s[k].argmax())
+                    best = best * self.words + int(s[k].argmax())
                 chosen = np.array([best])
             out.append(chosen)
         return out
 
 
-_codes: dict[tuple[int, int], ProductCode] = {}
+_codes: dict[tuple[int, int], list[ProductCode]] = {}
 
 
-def product_code(length: int, rotation: int) -> ProductCode:
-    if (length, rotation) not in _codes:
-        _codes[length, rotation] = ProductCode(length, rotation)
-    return _codes[length, rotation]
+def product_codes(length: int, rows: int) -> list[ProductCode]:
+    """Codes of all rotations; a worker keeps those of a few lengths."""
+    if (length, rows) not in _codes:
+        if len(_codes) >= 8:
+            _codes.clear()
+        rotations = ROTATIONS + max(0, math.ceil(math.log10(max(1, rows) / FEW)))
+        _codes[length, rows] = [ProductCode(length, rows, r, rotations) for r in range(rotations)]
+    return _codes[length, rows]
 
 
-def filters_of(vectors: list[np.ndarray]) -> list[np.ndarray]:
-    """Numbers of the filters of unit vectors, of all rotations, ascending."""
+def filters_of(vectors: list[np.ndarray], rows: int) -> list[np.ndarray]:
+    """Numbers of the filters of unit vectors, of all rotations, in a table of so many rows."""
     out: list[list[np.ndarray]] = [[] for _ in vectors]
     by_length: dict[int, list[int]] = {}
     for k, v in enumerate(vectors):
         by_length.setdefault(len(v), []).append(k)
-    for length, rows in by_length.items():
-        x = np.stack([vectors[k] for k in rows])
-        for r in range(ROTATIONS):
-            for k, numbers in zip(rows, product_code(length, r).decode(x)):
-                out[k].append((r * CODE**PARTS + numbers).astype(np.int32))
-    return [np.sort(np.concatenate(f)) for f in out]
+    for length, places in by_length.items():
+        x = np.stack([vectors[k] for k in places])
+        base = 0
+        for code in product_codes(length, rows):
+            for k, numbers in zip(places, code.decode(x)):
+                out[k].append(base + numbers)
+            base += code.words**code.parts
+    return [np.concatenate(f).astype(np.int64) for f in out]
 
 
 def unit(vector) -> np.ndarray | None:
@@ -125,14 +152,23 @@ def unit(vector) -> np.ndarray | None:
     return v / norm if norm > 0 else None
 
 
-def units(rows: np.ndarray) -> np.ndarray:
-    """`unit` of all rows of a matrix that `unit` accepts."""
-    x = rows.astype(np.float64)
-    x /= np.abs(x).max(1, keepdims=True)
-    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+def pack(u: np.ndarray) -> bytes:
+    """A unit vector in bytes: scale, bound of the error's length, and 8 bits a component."""
+    scale = np.float32(np.abs(u).max() / 127)
+    q = np.rint(u / float(scale))
+    error = np.nextafter(np.float32(np.linalg.norm(u - q * float(scale)) * (1 + 1e-6)), np.float32(np.inf))
+    return struct.pack("<ff", scale, error) + np.clip(q, -127, 127).astype(np.int8).tobytes()
+
+
+def unpack(small: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of components (without scale errors) and the bounds of vectors of one length."""
+    raw = np.frombuffer(b"".join(small), np.uint8).reshape(len(small), -1)
+    scale, error = raw[:, :8].copy().view(np.float32).T.astype(np.float64)
+    return raw[:, 8:].view(np.int8) * scale[:, None], error
 
 
-SIGNED = "sig binary, raw binary, filters array<int>"
+def signature(vector, kind: type) -> bytes:
+    return hashlib.blake2b((np.asarray(vector, kind) + kind(0)).tobytes(), digest_size=16).digest()  # -0 equals 0
 
 
 def _kind(vectors: DataFrame) -> type:
@@ -140,127 +176,181 @@ def _kind(vectors: DataFrame) -> type:
 
 
 def signed(vectors: DataFrame) -> DataFrame:
-    """vec_id, class signature, components and filters; nulls for vectors without links.
-
-    Components keep the width of the column (float or double), so nothing is rounded.
-    """
+    """vec_id, key, class signature and vector in bytes; nulls for vectors without links."""
     kind = _kind(vectors)
 
-    @F.pandas_udf(SIGNED)
+    @F.pandas_udf("sig binary, small binary")
     def of(rows: pd.Series) -> pd.DataFrame:
-        import hashlib
-
         units = [unit(r) for r in rows]
-        known = [k for k, u in enumerate(units) if u is not None]
-        out: list[tuple] = [(None, None, None)] * len(units)
-        for k, f in zip(known, filters_of([units[k] for k in known])):
-            raw = (np.asarray(rows.iloc[k], kind) + kind(0)).tobytes()  # -0 equals 0
-            out[k] = (hashlib.blake2b(raw, digest_size=16).digest(), raw, f)
-        return pd.DataFrame(out, columns=["sig", "raw", "filters"])
+        return pd.DataFrame([(None, None) if u is None else (signature(r, kind), pack(u)) for r, u in zip(rows, units)], columns=["sig", "small"])
 
-    return vectors.select("vec_id", of("embedding").alias("s")).select("vec_id", "s.*")
+    return vectors.select("vec_id", F.xxhash64("embedding").alias("key"), of("embedding").alias("s")).select("vec_id", "key", "s.*")
 
 
-FOUND = "sig binary, n long, root binary"
+def filters(small: Column, rows: int) -> Column:
+    """Filters of vectors in bytes."""
 
+    @F.pandas_udf("array<long>")
+    def of(smalls: pd.Series) -> pd.Series:
+        vectors = []
+        for s in smalls:
+            v = unpack([s])[0][0]
+            vectors.append(v / np.linalg.norm(v))
+        return pd.Series(filters_of(vectors, rows))
 
-def compare(group: pd.DataFrame, kind: type) -> pd.DataFrame:
-    """Links of the members of one filter, or of two of its blocks, by cosine.
+    return of(small)
 
-    Counts only pairs whose least common filter this is. One row per member that has links
-    here: the vectors it links with (copies counted) and the least member of its tree.
-    """
-    here = int(group["number"].iloc[0])
-    x = units(np.frombuffer(b"".join(group["raw"]), kind).reshape(len(group), -1))
-    left = group["left"].to_numpy()
-    close = x @ x.T >= COSINE
-    np.fill_diagonal(close, False)
-    if group["low"].iloc[0] != group["high"].iloc[0]:
-        close &= left[:, None] != left[None, :]
-    a, b = np.nonzero(np.triu(close))
-    if not len(a):
-        return pd.DataFrame({"sig": [], "n": [], "root": []})
-    # a pair counts here if no lesser filter holds both: lists of lesser filters as one bit matrix
-    lesser = [f[f < here] for f in group["filters"]]
-    numbers, column = np.unique(np.concatenate(lesser), return_inverse=True)
-    grid = np.zeros((len(group), len(numbers)), np.float32)
-    grid[np.repeat(np.arange(len(group)), [len(f) for f in lesser]), column] = 1
-    own = (grid @ grid.T)[a, b] == 0
-    a, b = a[own], b[own]
-    copies = group["copies"].to_numpy()
-    n = np.zeros(len(group), np.int64)
-    np.add.at(n, a, copies[b])
-    np.add.at(n, b, copies[a])
-    sigs = group["sig"].to_numpy()
-    root = list(range(len(group)))
-
-    def top(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    for i, j in zip(a.tolist(), b.tolist()):
-        p, q = top(i), top(j)
-        if p != q:
-            p, q = (p, q) if sigs[p] < sigs[q] else (q, p)
-            root[q] = p
-    hit = np.flatnonzero(n)
-    return pd.DataFrame({"sig": sigs[hit], "n": n[hit], "root": [sigs[top(k)] for k in hit.tolist()]})
 
+# ---------------------------------------------------------------- candidates
 
-def links(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (vec_id, sig), classes (sig, rep, copies), found (sig, n, root)."""
-    small_batches(vectors.sparkSession)
-    rows = written(signed(vectors), "vectors")
-    classes = (
-        rows.filter("sig is not null")
-        .groupBy("sig")
-        .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw"), F.first("filters").alias("filters"))
-    )
-    classes = written(classes, "vector-classes")
-    kind = _kind(vectors)
-    filters = F.explode(F.transform("filters", lambda f: F.struct(F.octet_length("raw").alias("length"), f.alias("number")))).alias("filter")
-    members = classes.select("sig", filters)
-    sizes = written(members.groupBy("filter").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "filter-sizes")
-    wide = sizes.withColumn("salt", all_salts(SALTS))
-    full = classes.select("sig", "copies", "raw", "filters", filters).withColumn("salt", salt([F.col("sig")], SALTS)).join(wide, ["filter", "salt"])
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = full.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("sig", F.lit(9)), blocks).cast("int"))
+LINKS = "u binary, v binary"
+
+
+def trees(close: np.ndarray) -> np.ndarray:
+    """The first row of each row's tree of a symmetric matrix of links."""
+    root = np.full(len(close), -1)
+    for k in range(len(close)):
+        if root[k] >= 0:
+            continue
+        front = np.array([k])
+        while len(front):
+            root[front] = k
+            front = np.flatnonzero(close[front].any(0) & (root < 0))
+    return root
+
+
+def candidates(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Links (first row, other row) of the trees of members that may reach the cosine."""
+    x, error = unpack(group["small"].tolist())
+    reach = x @ x.T + error[:, None] + error[None, :] + error[:, None] * error[None, :]
+    root = trees(reach >= COSINE - 1e-9)
+    other = np.flatnonzero(root != np.arange(len(root)))
+    return root[other], other
+
+
+def candidate_links(classes: DataFrame) -> DataFrame:
+    """(u, v) links between classes that met in a filter and may reach the cosine."""
+    number = F.explode("filters").alias("number")
+    size = F.octet_length("small").alias("length")
+    large = classes.select(size, number).groupBy("length", "number").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > BLOCK)
+    large = written(large, "large-filters")
+    rows = classes.select("sig", "small", size, number)
+    if large.count() <= BROADCAST_ROWS:  # else both sides are shuffled, large filters over salts
+        placed = rows.join(F.broadcast(large), ["length", "number"], "left")
+    else:
+        placed = rows.withColumn("salt", salt([F.col("sig")], SALTS)).join(large.withColumn("salt", all_salts(SALTS)), ["length", "number", "salt"], "left").drop("salt")
+    blocks = F.ceil(F.coalesce("members", F.lit(1)) / BLOCK).cast("int")
+    placed = placed.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("sig", F.lit(9)), blocks).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("filter.length", "filter.number", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") <= F.col("other")).alias("left"), "sig", "copies", "raw", "filters")
+    spread = spread.select("length", "number", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "sig", "small")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        given: set[tuple[bytes, bytes]] = set()
+
+        def of(batch: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+            new = set()
+            for a, b in zip(cuts, cuts[1:]):
+                if b - a > 1:
+                    group = batch.iloc[a:b]
+                    sigs = group["sig"].to_numpy()
+                    for i, j in zip(*candidates(group)):
+                        new.add((sigs[i], sigs[j]) if sigs[i] < sigs[j] else (sigs[j], sigs[i]))
+            new -= given
+            if len(given) < LINKS_KEPT:
+                given.update(new)
+            return pd.DataFrame(sorted(new), columns=["u", "v"])
 
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
         for batch in batches:
             batch = pd.concat([*kept, batch], ignore_index=True) if kept else batch
-            key = batch[["length", "number", "low", "high"]].to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            done = [compare(batch.iloc[a:b], kind) for a, b in zip(np.concatenate([[0], cuts[:-1]]), cuts)] if len(cuts) else []
-            kept = [batch.iloc[cuts[-1] if len(cuts) else 0 :]]
-            if done:
-                yield pd.concat(done, ignore_index=True)
-        if kept and len(kept[0]):
-            yield compare(kept[0], kind)
+            key = batch[keys].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1])
+            yield of(batch, cuts)
+            kept = [batch.iloc[cuts[-1] :]]  # the last group may go on
+        if kept:
+            yield of(kept[0], np.array([0, len(kept[0])]))
 
     keys = ["length", "number", "low", "high"]
-    found = written(spread.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compared, FOUND), "vector-links")
-    return rows.select("vec_id", "sig"), classes.select("sig", "rep", "copies"), found
+    return spread.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, LINKS).distinct()
+
+
+# ---------------------------------------------------------------- verification
+
+FOUND = "sig binary, n long, root binary"
+
+
+def exact_links(x: np.ndarray) -> np.ndarray:
+    """Matrix of links between rows, by cosine in double precision."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    close = x @ x.T >= COSINE
+    np.fill_diagonal(close, False)
+    return close
+
+
+def verified_links(vectors: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(sig, n, root): vectors linked to each class, and the least class of its tree."""
+    kind = _kind(vectors)
+    members = written(components(found).toDF("sig", "comp"), "vector-candidates")
+    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("members")).withColumn("salt", all_salts(SALTS))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("sig", F.lit(9)), F.col("blocks")).cast("int")
+    spread = members.withColumn("salt", salt([F.col("sig")], SALTS)).join(sizes, ["comp", "salt"]).withColumn("blocks", blocks).withColumn("mine", mine)
+    firsts = written(spread.join(classes.select("sig", "first", "copies"), "sig").select("comp", "blocks", "mine", "sig", "first", "copies"), "vector-firsts")
+    if firsts.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+        firsts = F.broadcast(firsts)
+    own = vectors.select(F.col("vec_id").alias("own_id"), F.xxhash64("embedding").alias("own_key"), F.col("embedding").alias("vector"))
+    same = (F.col("first.key") == F.col("own_key")) & F.col("first.vec_id").eqNullSafe(F.col("own_id"))
+    rows = firsts.join(own, same).select("comp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "sig", "copies", "vector")
+    rows = rows.select("comp", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") <= F.col("other")).alias("left"), "sig", "copies", "vector")
+
+    def verify(group: pd.DataFrame) -> pd.DataFrame:
+        # a row that repeats the first one brings its vector again: it counts once
+        group = group[[signature(v, kind) == s for v, s in zip(group["vector"], group["sig"])]].drop_duplicates("sig").sort_values("sig")
+        sigs, left = group["sig"].to_numpy(), group["left"].to_numpy()
+        if len(group) < 2:
+            return pd.DataFrame({"sig": sigs, "n": np.zeros(len(sigs), np.int64), "root": sigs})
+        lengths = np.array([len(v) for v in group["vector"]])
+        close = np.zeros((len(group), len(group)), bool)
+        for length in np.unique(lengths):
+            of = np.flatnonzero(lengths == length)
+            close[np.ix_(of, of)] = exact_links(np.stack([np.asarray(v, kind) for v in group["vector"].iloc[of]]))
+        if group["low"].iloc[0] != group["high"].iloc[0]:
+            close &= left[:, None] != left[None, :]
+        n = (close * group["copies"].to_numpy()[None, :]).sum(1)
+        return pd.DataFrame({"sig": sigs, "n": n, "root": sigs[trees(close)]})
+
+    return rows.groupBy("comp", "low", "high").applyInPandas(verify, FOUND)
+
+
+def links(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (vec_id, key, sig), classes (sig, first, copies), found (sig, n, root).
+
+    first is the (no_id, vec_id, key) that stands for the class; key a hash of the vector.
+    """
+    small_batches(vectors.sparkSession)
+    rows = written(signed(vectors), "vectors")
+    first = F.struct(F.col("vec_id").isNull().alias("no_id"), "vec_id", "key")
+    classes = rows.filter("sig is not null").groupBy("sig").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("small").alias("small"))
+    classes = written(classes.withColumn("filters", filters(F.col("small"), rows.count())), "vector-classes")
+    found = written(verified_links(vectors, classes, candidate_links(classes)), "vector-links")
+    return rows.select("vec_id", "key", "sig"), classes.select("sig", "first", "copies"), found
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors."""
     rows, classes, found = links(vectors)
-    counts = found.groupBy("sig").agg(F.sum("n").alias("linked"))
+    counts = found.groupBy("sig").agg(F.sum("n").alias("linked")).filter("linked > 0")
     trees = components(found.select("sig", "root")).toDF("sig", "tree")
     named = classes.join(trees, "sig")
-    least = named.groupBy("tree").agg(F.min("rep").alias("least")).withColumn("salt", all_salts(SALTS))
+    least = named.groupBy("tree").agg(F.min("first").alias("least")).withColumn("salt", all_salts(SALTS))
     facts = named.withColumn("salt", salt([F.col("sig")], SALTS)).join(least, ["tree", "salt"]).select("sig", "least")
     known = classes.join(facts, "sig", "left").join(counts, "sig", "left").filter((F.col("copies") > 1) | F.col("least").isNotNull())
-    spread = rows.withColumn("salt", salt([F.col("vec_id")], SALTS))
+    spread = rows.withColumn("salt", salt([F.col("vec_id"), F.col("key")], SALTS))
     out = spread.join(known.withColumn("salt", all_salts(SALTS)), ["sig", "salt"], "left")
     n = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("linked", F.lit(0))
-    component = F.coalesce("least", "rep", "vec_id")
+    component = F.coalesce("least.vec_id", "first.vec_id", "vec_id")
     out = out.select("vec_id", n.cast("long").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
