@@ -38,7 +38,7 @@ from stemma.llm.graph import components
 #: Words of a shingle and the least similarity of a link (fixed by the contract).
 SHINGLE, SIMILARITY = 5, 0.8
 #: Sampling rate of tokens per level, levels of a path, recall of a pair at the threshold.
-LAMBDA, LEVELS, RECALL = 0.7, 2, 0.999
+LAMBDA, LEVELS, RECALL = 0.7, 1, 0.999
 #: Largest bucket compared at once; larger ones are split so many times and then cut in blocks.
 BUCKET, SPLITS = 1000, 2
 #: Members of a component whose sets are verified together; larger ones in pairs of blocks.
