@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Blocks of a request, relocation, and surplus of an unbalanced chapter.
-BLOCK, RELOCATION_TAU, OLD_SURPLUS, REMOVED_CHARS = 40, 0.7, 5, 60
+BLOCK, RELOCATION_TAU, OLD_SURPLUS, REMOVED_CHARS, FULL_CHARS = 40, 0.7, 5, 60, 2000
 REASONS = ("possible_move", "relocated_outside_mapping", "missed_inside_mapping", "unbalanced_mapping")
 # Closed vocabularies of the interpretation axes.
 SEMANTIC_STATUS = ("equivalent", "clarified", "extended", "narrowed", "replaced", "contradictory", "indeterminate")
@@ -21,7 +21,7 @@ def priority(kind: Column, has_value: Column, shifted: Column, strong: Column, l
     """What a change is worth asking about first."""
     score = F.when(has_value, 4.0).otherwise(0.0) + F.when(shifted, 3.0).otherwise(0.0)
     score = score + F.when(kind.isin("new", "removed") & strong, 3.0).otherwise(0.0) + F.when(kind.isin("moved_in", "moved_away"), 1.0).otherwise(0.0)
-    return score + F.least(length / 1000.0, F.lit(1.0)) - F.when(equal, 5.0).otherwise(0.0)
+    return score + F.least(length, F.lit(FULL_CHARS)) / FULL_CHARS - F.when(equal, 5.0).otherwise(0.0)
 
 
 def blocks(changes: DataFrame, by: str, score: str, order: str) -> DataFrame:
@@ -60,31 +60,6 @@ def coverage(asked: DataFrame, answered: DataFrame) -> DataFrame:
     return rows.withColumn("unanswered", F.greatest(F.col("shown") - F.col("interpreted"), F.lit(0)))
 
 
-def check_axes(rows: DataFrame) -> DataFrame:
-    """Values outside the vocabularies become null and are reported, in fixed order."""
-    status = F.when(F.col("status").isin(*SEMANTIC_STATUS), F.col("status"))
-    direction = F.when(F.col("direction").isin(*NORMATIVE_DIRECTION), F.col("direction"))
-    known = lambda c: c.isin(*COMPONENTS) | c.startswith("other:")
-    components = F.filter("components", known)
-    faults = F.array_compact(
-        F.array(
-            F.when(F.col("status").isNotNull() & status.isNull(), F.concat(F.lit("status:"), "status")),
-            F.when(F.col("direction").isNotNull() & direction.isNull(), F.concat(F.lit("direction:"), "direction")),
-            F.when(F.size("components") > F.size(components), F.lit("components")),
-        )
-    )
-    return rows.select("id", status.alias("status"), direction.alias("direction"), components.alias("components"), faults.alias("violations"))
-
-
-def move_pairs(changes: DataFrame) -> DataFrame:
-    """Moves by pointer: pairs, and one-sided ones as unpaired; the first holder counts."""
-    away = changes.filter("kind = 'moved_away'").select(F.col("par_id").alias("away_id"), F.col("moved_to").alias("target"))
-    into = changes.filter("kind = 'moved_in'").groupBy(F.col("par_id").alias("into_id")).agg(F.min("moved_from").alias("source"))
-    both = away.join(into, (F.col("target") == F.col("into_id")) & (F.col("source") == F.col("away_id")), "full_outer")
-    state = F.when(F.col("away_id").isNotNull() & F.col("into_id").isNotNull(), "paired").when(F.col("into_id").isNull(), "unpaired").otherwise("dangling")
-    return both.select("away_id", "into_id", state.alias("state"))
-
-
 def cache_key(model: Column, system: Column, user: Column) -> Column:
     return F.sha1(F.concat(model, F.lit("\x00"), system, F.lit("\x00"), user).cast("binary"))
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.functions.text import compare_key, n3, word_trigrams
-from stemma.operators import align, joins, kernels
+from stemma.operators import align, diff, joins, kernels
 from stemma.plans.paragraphs import PARAGRAPHS_SQL, edition_paragraphs, table
 
 
+#: Lines a text can have; an id is the text's number and the line's.
+PLACES = 1 << 31
+
+
 def _words(text):
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
@@ -33,12 +38,12 @@ def chapter_map_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = edition_paragraphs(table(spark, sf_dir, "documents")).filter("edition = 'new'")
-    return rows.select((F.col("sec_ix") * 100000 + F.col("par_ix")).alias("id"), compare_key(F.col("n0")).alias("key"))
+    return rows.select((F.col("sec_ix") * PLACES + F.col("par_ix")).alias("id"), compare_key(F.col("n0")).alias("key"))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    return lines.select((F.col("item_id") * 1000 + F.col("k")).alias("id"), compare_key(F.col("line")).alias("key"))
+    return lines.select((F.col("item_id") * PLACES + F.col("k")).alias("id"), compare_key(F.col("line")).alias("key"))
 
 
 def absorbed_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,13 +76,12 @@ def removed_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes (first lines of items) whose beginning stands in documents: how many hold it."""
     quote = F.lower(F.split("text", "\n")[0])
-    parts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring(quote, 1, 15).alias("key"), quote.alias("quote")).filter(F.length("key") >= 15)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("hay"))
-    first = F.regexp_extract("key", r"^\S+", 0)
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("hay", F.lit(r"\S+"), F.lit(0)))).alias("word"))
-    met = words.join(parts.withColumn("word", first), "word").drop("word")  # the texts join only where a word meets
-    found = met.join(docs, "doc_id").filter(F.contains("hay", F.col("key")))
-    return found.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct(F.when(F.contains("hay", F.col("quote")), F.col("doc_id"))).alias("n_whole"))
+    parts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), quote.alias("quote")).filter(F.length("quote") >= 15)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("key"))
+    starts = joins.containing(parts.select("id", F.substring("quote", 1, 15).alias("key")), docs, 15, strict=False)
+    whole = joins.containing(parts.select("id", F.col("quote").alias("key")), docs, 15, strict=False).withColumn("whole", F.lit(True))
+    rows = starts.join(whole, ["part_id", "host_id"], "left").groupBy(F.col("part_id").alias("item_id"))
+    return rows.agg(F.countDistinct("host_id").alias("n_docs"), F.countDistinct(F.when(F.col("whole"), F.col("host_id"))).alias("n_whole"))
 
 
 def change_index_best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,38 +99,77 @@ def block_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.continue_blocks(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_extendedprice"]).groupBy("kind", "moved_to").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Vectors of one label that are compared at once.
+VECTORS = 2048
+
+
+def _label_products(spark: SparkSession, sf_dir: str, schema: str, of) -> DataFrame:
+    """of(label, old ids, new ids, products) over all pairs of blocks of a label's old and new vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
+    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    sizes = rows.groupBy("label", (F.col("vec_id") % 2).alias("side")).agg(F.ceil(F.count(F.lit(1)) / VECTORS).cast("int").alias("blocks"))
+    sides = [sizes.filter(F.col("side") == s).select("label", F.col("blocks").alias(n)) for s, n in ((0, "blocks"), (1, "others"))]
+    grid = sides[0].join(sides[1], "label")
+    frames = []
+    for s, own, other in ((0, "blocks", "others"), (1, "others", "blocks")):
+        part = rows.filter(F.col("vec_id") % 2 == s).join(F.broadcast(grid.select("label", F.col(own).alias("blocks"), F.col(other).alias("n_other"))), "label")
+        part = part.withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)))
+        same = [F.col(c).alias(c) for c in ("label", "vec_id", "embedding")]  # columns of their own on either side
+        frames.append(part.select(*same, F.col("mine" if s == 0 else "other").alias("a"), F.col("other" if s == 0 else "mine").alias("b")))
+
+    def pair(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        if not len(old) or not len(new):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        x, y = (np.stack(side["embedding"]).astype(np.float64) for side in (old, new))
+        return of(key[0], old["vec_id"].to_numpy(), new["vec_id"].to_numpy(), np.round(x @ y.T, 6))
+
+    return frames[0].groupBy("label", "a", "b").cogroup(frames[1].groupBy("label", "a", "b")).applyInPandas(pair, schema)
+
+
 def mutual_best_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old and new vectors of one label that are each other's best by cosine, from 0.2 on."""
-    rows = table(spark, sf_dir, "embeddings").withColumn("block", F.concat_ws("/", "label", F.pmod(F.floor(F.col("vec_id") / 100), F.lit(5))))
-    old = rows.filter("vec_id % 2 = 0").select("block", F.col("vec_id").alias("old_id"), F.col("embedding").alias("a"))
-    new = rows.filter("vec_id % 2 = 1").select("block", F.col("vec_id").alias("new_id"), F.col("embedding").alias("b"))
-    pairs = old.join(new, "block").select("old_id", "new_id", F.round(joins.dot("a", "b"), 6).alias("score"))
-    return joins.mutual_best(pairs, 0.2)
+    """Old and new vectors of one label that are each other's best by cosine, from 0.2 on.
+
+    Blocks of a label give the best of each of their vectors; only these meet again.
+    """
+
+    def best(label, old, new, score) -> pd.DataFrame:
+        rows = []
+        for ids, others, s, side in ((old, new, score, 0), (new, old, score.T, 1)):
+            order = np.argsort(others, kind="stable")  # among equals the least id
+            at = order[s[:, order].argmax(1)]
+            rows.append(pd.DataFrame({"side": side, "id": ids, "other": others[at], "score": s[np.arange(len(ids)), at]}))
+        return pd.concat(rows)
+
+    found = _label_products(spark, sf_dir, "side int, id long, other long, score double", best)
+    top = found.groupBy("side", "id").agg(F.min(F.struct((-F.col("score")).alias("s"), "other")).alias("b")).select("side", "id", "b.other", (-F.col("b.s")).alias("score"))
+    old, new = (top.filter(F.col("side") == s).drop("side") for s in (0, 1))
+    both = old.alias("o").join(new.alias("n"), (F.col("o.id") == F.col("n.other")) & (F.col("o.other") == F.col("n.id")))
+    return both.filter("o.score >= 0.2").select(F.col("o.id").alias("old_id"), F.col("n.id").alias("new_id"), F.col("o.score").alias("score"))
 
 
 def cosine_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    old = rows.filter("vec_id % 2 = 0").select("label", F.col("vec_id").alias("old_id"), F.col("embedding").alias("a"))
-    new = rows.filter("vec_id % 2 = 1").select("label", F.col("vec_id").alias("new_id"), F.col("embedding").alias("b"))
-    score = F.round(joins.dot("a", "b"), 6)
-    return old.join(new, "label").select("label", score.alias("s")).groupBy("label").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("s") >= 0.3).alias("n_close"), F.max("s").alias("best"))
+    """Pairs of old and new vectors by label: how many, how many close, and the best."""
+
+    def count(label, old, new, score) -> pd.DataFrame:
+        return pd.DataFrame([(label, score.size, int((score >= 0.3).sum()), float(score.max()))], columns=["label", "n_pairs", "n_close", "best"])
+
+    found = _label_products(spark, sf_dir, "label int, n_pairs long, n_close long, best double", count)
+    return found.groupBy("label").agg(F.sum("n_pairs").alias("n_pairs"), F.sum("n_close").alias("n_close"), F.max("best").alias("best"))
 
 
 def cell_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of parts as tables of five rows, even keys old and odd keys new, by position."""
     cells = table(spark, sf_dir, "part").select(
-        F.floor(F.col("p_partkey") / 10).alias("table_id"), F.floor(F.pmod("p_partkey", F.lit(10)) / 2).alias("row"), (F.col("p_partkey") % 2).alias("side"),
+        F.floor(F.col("p_partkey") / 10).alias("table_id"), F.floor(F.pmod("p_partkey", F.lit(10)) / 2).alias("row"), F.when(F.col("p_partkey") % 2 == 0, "old").otherwise("new").alias("edition"),
         F.posexplode(F.array("p_brand", "p_type", F.col("p_size").cast("string"))).alias("col", "text"),
     )
-    key = F.regexp_replace(F.lower("text"), r"\s+", "")
-    both = cells.groupBy("table_id", "row", "col").agg(*(F.max(F.when(F.col("side") == s, key)).alias(n) for s, n in ((0, "old"), (1, "new"))))
-    return both.filter(~F.col("old").eqNullSafe(F.col("new"))).groupBy("table_id").agg(F.count(F.lit(1)).alias("n_changed"))
+    return diff.cell_changes(cells, ["table_id"]).groupBy("table_id").agg(F.count(F.lit(1)).alias("n_changed"))
 
 
 def formula_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 2).alias("side"), F.concat(F.lit("x="), (F.col("l_partkey") % 5).cast("string")).alias("formula"))
-    sets = rows.groupBy("l_orderkey").agg(*(F.collect_set(F.when(F.col("side") == s, F.col("formula"))).alias(n) for s, n in ((0, "old"), (1, "new"))))
-    return sets.select("l_orderkey", F.array_join(F.array_sort(F.array_except("new", "old")), "|").alias("added"), F.array_join(F.array_sort(F.array_except("old", "new")), "|").alias("removed"))
+    formula = F.concat(F.lit("x = "), (F.col("l_partkey") % 5).cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") % 2 == 0, "old").otherwise("new").alias("edition"), diff.formula_key(F.lit(None).cast("string"), formula).alias("key"))
+    return diff.formulas_diff(rows, ["l_orderkey"]).select("l_orderkey", F.array_join("added", "|").alias("added"), F.array_join("removed", "|").alias("removed"))
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,9 +228,9 @@ def syntactic_diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KEY = "regexp_replace(lower({t}), '[^0-9a-zäöüß%<>≤≥=+]+', '', 'g')"
 _CONTAIN = f"""{PARAGRAPHS_SQL},
-hosts AS (SELECT sec_ix * 100000 + par_ix AS id, key FROM keyed WHERE edition = 'new'),
+hosts AS (SELECT sec_ix * 2147483648 + par_ix AS id, key FROM keyed WHERE edition = 'new'),
 lines2 AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM benchmark),
-parts AS (SELECT item_id * 1000 + k AS id, {_KEY.format(t='line')} AS key FROM lines2)"""
+parts AS (SELECT item_id * 2147483648 + k AS id, {_KEY.format(t='line')} AS key FROM lines2)"""
 _WORDS = "list_filter(string_split_regex(lower({t}), '\\s+'), lambda w: w <> '')"
 
 QUERIES = {
@@ -230,8 +273,8 @@ SELECT kind, count(*) AS n FROM k GROUP BY kind""",
     ),
     "evidence_contains": (
         evidence_contains,
-        """WITH q AS (SELECT item_id, lower(string_split(text, chr(10))[1]) AS quote FROM benchmark), p AS (SELECT *, substring(quote, 1, 15) AS key, regexp_extract(substring(quote, 1, 15), '^\\S+') AS word FROM q WHERE length(quote) >= 15)
-SELECT item_id, count(*) AS n_docs, count(*) FILTER (contains(lower(text), quote)) AS n_whole FROM p JOIN documents ON contains(lower(text), key) AND word <> '' AND list_contains(string_split_regex(lower(text), '\\s+'), word) GROUP BY item_id""",
+        """WITH p AS (SELECT item_id, lower(string_split(text, chr(10))[1]) AS quote FROM benchmark)
+SELECT item_id, count(*) AS n_docs, count(*) FILTER (contains(lower(text), quote)) AS n_whole FROM p JOIN documents ON contains(lower(text), substring(quote, 1, 15)) WHERE length(quote) >= 15 GROUP BY item_id""",
     ),
     "change_index_best": (
         change_index_best,
@@ -250,7 +293,7 @@ SELECT kind, moved_to, count(*) AS n FROM f GROUP BY ALL""",
     ),
     "mutual_best_vectors": (
         mutual_best_vectors,
-        """WITH v AS (SELECT vec_id, label || '/' || ((vec_id // 100) % 5) AS block, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        """WITH v AS (SELECT vec_id, label AS block, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 p AS (SELECT a.vec_id AS old_id, b.vec_id AS new_id, round(list_dot_product(a.e, b.e), 6) AS score FROM v AS a JOIN v AS b ON a.block = b.block AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)
 SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY old_id ORDER BY score DESC, new_id) = 1 AND row_number() OVER (PARTITION BY new_id ORDER BY score DESC, old_id) = 1 AND score >= 0.2""",
     ),

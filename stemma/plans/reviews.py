@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.operators import review
+from stemma.operators import interpretation, review
 from stemma.plans.paragraphs import table
 
 
@@ -46,14 +46,14 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def axis_cross_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Semantic status by normative direction, from event types and values."""
+    """Semantic status by normative direction, from event types and values; some abstain without a reason."""
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
     rows = table(spark, sf_dir, "events").select(
-        F.element_at(F.array(*map(F.lit, (*review.SEMANTIC_STATUS, "odd"))), (F.col("event_id") % 8 + 1).cast("int")).alias("status"),
-        F.element_at(F.array(*map(F.lit, (*review.NORMATIVE_DIRECTION, "odd"))), (F.col("user_id") % 6 + 1).cast("int")).alias("direction"),
-        F.col("event_id").alias("id"), F.array(F.lit("scope"), F.col("event_type")).alias("components"),
+        pick((*review.SEMANTIC_STATUS, "odd"), F.col("event_id") % 8).alias("semantic_status"), pick((*review.NORMATIVE_DIRECTION, "odd"), F.col("user_id") % 6).alias("normative_direction"),
+        F.array(F.lit("scope"), F.col("event_type")).alias("affected_components"), F.when(F.col("event_id") % 3 == 0, "outside_text").alias("indeterminate_reason"), F.lit("similar").alias("kind"),
     )
-    checked = review.check_axes(rows)
-    return checked.groupBy("status", "direction").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("violations")).alias("n_violations"))
+    checked = interpretation.check_axes(rows)
+    return checked.groupBy(F.col("semantic_status").alias("status"), F.col("normative_direction").alias("direction")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("violations")).alias("n_violations"))
 
 
 def component_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +62,13 @@ def component_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partner_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order pairs as moves: paired, unpaired or dangling."""
-    orders = table(spark, sf_dir, "orders")
-    away = orders.filter("o_orderkey % 3 = 0").select(F.lit("moved_away").alias("kind"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("par_id"), F.concat(F.lit("n"), F.col("o_custkey")).alias("moved_to"), F.lit(None).cast("string").alias("moved_from"))
-    into = orders.filter("o_orderkey % 2 = 0").select(F.lit("moved_in").alias("kind"), F.concat(F.lit("n"), F.col("o_custkey")).alias("par_id"), F.lit(None).cast("string").alias("moved_to"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("moved_from"))
-    return review.move_pairs(away.union(into)).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    """Orders as moves: paired, unpaired, dangling, and orphans."""
+    orders, null = table(spark, sf_dir, "orders"), F.lit(None).cast("string")
+    base = [F.lit("p").alias("pair_id"), F.lit("m").alias("mapping"), F.col("o_orderkey").alias("change_ix")]
+    source, target = F.concat(F.lit("o"), F.col("o_orderkey")), F.concat(F.lit("n"), F.col("o_custkey"))
+    away = orders.filter("o_orderkey % 3 = 0").select(*base, F.lit("moved_away").alias("kind"), source.alias("old_pid"), null.alias("new_pid"), F.when(F.col("o_orderkey") % 5 != 0, target).alias("moved_to"), null.alias("moved_from"))
+    into = orders.filter("o_orderkey % 2 = 0").select(*base, F.lit("moved_in").alias("kind"), null.alias("old_pid"), target.alias("new_pid"), null.alias("moved_to"), source.alias("moved_from"))
+    return interpretation.move_pairs(away.union(into)).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +90,8 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def histogram_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of empty bins between occupied ones, from the sorted array of 20 bins at most."""
-    bins = score_histogram(spark, sf_dir).filter("n > 0").agg(F.array_sort(F.collect_set("bin")).alias("b"))
+    steps = table(spark, sf_dir, "lineitem").select(F.least(F.floor(F.round(F.col("l_discount") * 9 / F.lit(0.05), 9)), F.lit(19)).alias("bin"))
+    bins = steps.agg(F.array_sort(F.collect_set("bin")).alias("b"))
     pairs = bins.select(F.explode(F.arrays_zip(F.slice("b", 1, F.greatest(F.size("b") - 1, F.lit(0))).alias("low"), F.slice("b", 2, F.greatest(F.size("b") - 1, F.lit(0))).alias("high"))).alias("p"))
     return pairs.filter("p.high > p.low + 1").select((F.col("p.low") + 1).alias("first_empty"), (F.col("p.high") - 1).alias("last_empty"))
 
@@ -115,7 +118,7 @@ def score_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CH = """ch AS (SELECT l_orderkey % 50 AS chapter, l_orderkey * 10 + l_linenumber AS ix, l_extendedprice, ['similar', 'new', 'removed', 'moved_in', 'identical'][l_partkey % 5 + 1] AS kind, l_discount > 0.05 AS v, l_tax > 0.06 AS s, l_returnflag = 'R' AS st, l_quantity * 40 AS len FROM lineitem),
-sc AS (SELECT *, round(CASE WHEN v THEN 4.0::DOUBLE ELSE 0 END + CASE WHEN s THEN 3.0 ELSE 0 END + CASE WHEN kind IN ('new', 'removed') AND st THEN 3.0 ELSE 0 END + CASE WHEN kind = 'moved_in' THEN 1.0 ELSE 0 END + least(len / 1000.0, 1.0) - CASE WHEN kind = 'identical' THEN 5.0 ELSE 0 END, 6) AS score FROM ch)"""
+sc AS (SELECT *, round(CASE WHEN v THEN 4.0::DOUBLE ELSE 0 END + CASE WHEN s THEN 3.0 ELSE 0 END + CASE WHEN kind IN ('new', 'removed') AND st THEN 3.0 ELSE 0 END + CASE WHEN kind = 'moved_in' THEN 1.0 ELSE 0 END + least(len, 2000) / 2000.0::DOUBLE - CASE WHEN kind = 'identical' THEN 5.0 ELSE 0 END, 6) AS score FROM ch)"""
 _X = "x AS (SELECT round(l_discount * 9 + l_tax, 6) AS x FROM lineitem)"
 _H = f"{_X}, h AS (SELECT CAST(least(floor(round(x / 0.05::DOUBLE, 9)), 19) AS BIGINT) AS bin, count(*) AS n FROM x GROUP BY 1)"
 _list = lambda xs: "['" + "', '".join(xs) + "']"
@@ -144,8 +147,10 @@ SELECT chapter, shown, coalesce(n, 0) AS interpreted, greatest(shown - coalesce(
     ),
     "axis_cross_table": (
         axis_cross_table,
-        f"""WITH e AS (SELECT {_list((*review.SEMANTIC_STATUS, 'odd'))}[event_id % 8 + 1] AS s, {_list((*review.NORMATIVE_DIRECTION, 'odd'))}[user_id % 6 + 1] AS d, event_type NOT IN {tuple(review.COMPONENTS)} AND NOT starts_with(event_type, 'other:') AS c FROM events)
-SELECT CASE WHEN s <> 'odd' THEN s END AS status, CASE WHEN d <> 'odd' THEN d END AS direction, count(*) AS n, CAST(sum(CAST(s = 'odd' AS INT) + CAST(d = 'odd' AS INT) + CAST(c AS INT)) AS BIGINT) AS n_violations FROM e GROUP BY 1, 2""",
+        f"""WITH e AS (SELECT {_list((*review.SEMANTIC_STATUS, 'odd'))}[event_id % 8 + 1] AS s, {_list((*review.NORMATIVE_DIRECTION, 'odd'))}[user_id % 6 + 1] AS d, event_type NOT IN {tuple(review.COMPONENTS)} AND NOT starts_with(event_type, 'other:') AS c, event_id % 3 = 0 AS r FROM events),
+a AS (SELECT *, s = 'indeterminate' AS sa, d = 'indeterminate' AS da FROM e)
+SELECT CASE WHEN s <> 'odd' AND (r OR NOT sa) THEN s END AS status, CASE WHEN d <> 'odd' AND (r OR NOT da) THEN d END AS direction, count(*) AS n,
+  CAST(sum(CAST(s = 'odd' AS INT) + CAST(d = 'odd' AS INT) + CAST(c AS INT) + CAST(sa AND NOT r AS INT) + CAST(da AND NOT r AS INT) + CAST(r AND NOT sa AND NOT da AS INT)) AS BIGINT) AS n_violations FROM a GROUP BY 1, 2""",
     ),
     "component_pivot": (
         component_pivot,
@@ -153,12 +158,13 @@ SELECT CASE WHEN s <> 'odd' THEN s END AS status, CASE WHEN d <> 'odd' THEN d EN
     ),
     "partner_disagreement": (
         partner_disagreement,
-        """WITH a AS (SELECT 'o' || o_orderkey AS away_id, 'n' || o_custkey AS target FROM orders WHERE o_orderkey % 3 = 0), i AS (SELECT 'n' || o_custkey AS into_id, min('o' || o_orderkey) AS source FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1)
-SELECT CASE WHEN away_id IS NOT NULL AND into_id IS NOT NULL THEN 'paired' WHEN into_id IS NULL THEN 'unpaired' ELSE 'dangling' END AS state, count(*) AS n FROM a FULL JOIN i ON target = into_id AND source = away_id GROUP BY 1""",
+        """WITH a AS (SELECT 'o' || o_orderkey AS src, CASE WHEN o_orderkey % 5 <> 0 THEN 'n' || o_custkey END AS target FROM orders WHERE o_orderkey % 3 = 0), i AS (SELECT 'n' || o_custkey AS target, 'o' || o_orderkey AS src FROM orders WHERE o_orderkey % 2 = 0),
+s AS (SELECT CASE WHEN target IS NULL THEN 'unpaired' WHEN target IN (SELECT target FROM i) THEN 'paired' ELSE 'dangling' END AS state FROM a UNION ALL SELECT 'orphan' FROM i WHERE src NOT IN (SELECT src FROM a))
+SELECT state, count(*) AS n FROM s GROUP BY state""",
     ),
     "threshold_sweep": (threshold_sweep, f"WITH {_X}, t AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9]::DOUBLE[]) AS threshold) SELECT threshold, count(*) AS n FROM x, t WHERE x >= threshold GROUP BY threshold"),
     "score_histogram": (score_histogram, f"WITH {_H} SELECT bin, n FROM h"),
-    "histogram_gaps": (histogram_gaps, f"WITH {_H}, g AS (SELECT bin, lead(bin) OVER (ORDER BY bin) AS nx FROM h WHERE n > 0) SELECT bin + 1 AS first_empty, nx - 1 AS last_empty FROM g WHERE nx > bin + 1"),
+    "histogram_gaps": (histogram_gaps, "WITH h AS (SELECT DISTINCT CAST(least(floor(round(l_discount * 9 / 0.05::DOUBLE, 9)), 19) AS BIGINT) AS bin FROM lineitem), g AS (SELECT bin, lead(bin) OVER (ORDER BY bin) AS nx FROM h) SELECT bin + 1 AS first_empty, nx - 1 AS last_empty FROM g WHERE nx > bin + 1"),
     "snapshot_check": (
         snapshot_check,
         """WITH a AS (SELECT 'p' || p_partkey AS k, sha256(p_name) AS d FROM part WHERE p_partkey % 11 <> 0), b AS (SELECT 'p' || p_partkey AS k, sha256(CASE WHEN p_size > 40 THEN p_name || '!' ELSE p_name END) AS d FROM part WHERE p_partkey % 13 <> 0)

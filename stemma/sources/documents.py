@@ -22,7 +22,8 @@ ROWS = "doc string, sec_ix int, section_id string, title string, level int, part
 NAMES = [c.split()[0] for c in ROWS.split(", ")]
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 # Titles that open a part of a standard, and the style of headings.
-FRONT = ("vorwort", "einleitung", "inhalt", "inhaltsverzeichnis")
+FRONT = ("vorwort", "einleitung", "anwendungsbeginn", "änderungen")
+NAVIGATION = ("inhalt", "inhaltsverzeichnis", "bilder", "tabellen", "contents", "table of contents", "figures", "tables")
 HEADING = re.compile(r"^(?:berschrift|überschrift|heading)\s*([1-9])$", re.I)
 ANNEX = re.compile(r"^Anhang\s+([A-Z])\b.*?(?:\((normativ|informativ)\))?", re.I)
 
@@ -40,11 +41,11 @@ class Sections:
         self.par_ix, self.rows = 0, []
 
     def heading(self, title: str, level: int) -> str:
-        annex = ANNEX.match(title)
-        if title.strip().lower() in FRONT:
-            number, self.part = "", "vorspann"
-        elif title.strip().lower().startswith("literatur"):
-            number, self.part = "", "literatur"
+        annex, low = ANNEX.match(title), title.strip().lower()
+        if low in FRONT:  # no number, so the chapters that follow count from one
+            number, level, self.part = f"vorspann.{low}", 1, "vorspann"
+        elif low.startswith("literatur"):
+            number, level, self.part = "Literatur", 1, "literatur"
         elif annex:
             self.letter, self.counts = annex[1].upper(), [0]
             self.part = "anhang_normativ" if "normativ" in title.lower() else "anhang_informativ"
@@ -154,6 +155,8 @@ def parse_docx(doc: str, content: bytes) -> tuple[list[tuple], list[tuple]]:
             head = HEADING.match(style_name or "")
             if not text.strip():
                 continue
+            if head and text.strip().lower() in NAVIGATION:
+                continue  # lists of contents are no chapters
             if head:
                 out.heading(text.strip(), int(head[1]))
             elif re.match(r"^Tabelle\s+[A-Z]?\.?\d", text):

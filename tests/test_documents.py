@@ -1,7 +1,11 @@
 """Readers, writers and the comparison end to end on a small pair of editions."""
 
+import io
 import json
+import zipfile
+from xml.etree import ElementTree
 
+import pytest
 from pyspark.sql import functions as F
 
 from stemma.editions import compare
@@ -32,16 +36,17 @@ def test_markdown_numbers_and_kinds():
 def test_editions_are_compared(spark):
     found = compare(paragraphs(spark))
     kinds = {(r["mapping"], r["kind"]): r["n"] for r in found.changes.groupBy("mapping", "kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert kinds == {("1<1", "identical"): 1, ("2<2", "identical"): 2, ("2<2", "similar"): 1, ("2.1<2.1", "similar"): 1, ("3<3", "new"): 1, ("3<3", "removed"): 1}
+    assert kinds == {("2<2", "similar"): 1, ("2.1<2.1", "similar"): 1, ("3<3", "new"): 1, ("3<3", "removed"): 1}
+    assert {r["mapping"]: r["n_identical"] for r in found.chapters.collect()} == {"1<1": 1, "2<2": 2, "2.1<2.1": 0, "3<3": 0}
     changes = {r["mapping"]: r for r in found.changes.filter("kind = 'similar'").collect()}
-    assert changes["2<2"]["modality_shift"] == "verschaerft"
-    assert changes["2.1<2.1"]["refs"]["added"] == ["2"] and changes["2.1<2.1"]["refs"]["removed"] == ["1"]
+    assert changes["2<2"]["modality"]["shift"] == "verschaerft"
+    assert changes["2.1<2.1"]["refs"]["internal_added"] == ["2"] and changes["2.1<2.1"]["refs"]["internal_removed"] == ["1"]
 
 
 def test_arrivals(spark, tmp_path):
     paragraphs(spark).write.parquet(f"{tmp_path}/in")
     compare_arrivals(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 7
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 4
 
 
 def test_word_files_round_trip(spark, tmp_path):
@@ -66,13 +71,59 @@ def test_json_round_trip(spark, tmp_path):
 
 
 def test_writers(spark, tmp_path):
-    table = sinks.changes_csv([{"chapter": "1", "old_ids": ["a", "b"], "old_text": "x;y"}])
-    assert table.startswith(b"\xef\xbb\xbfchapter;") and b'a|b;;"x;y"' in table
+    table = sinks.changes_csv([{"section_id": "1", "affected_components": ["a", "b"], "change": "x;y", "section_new": "1.2"}])
+    head, row = table.decode("utf-8-sig").splitlines()
+    assert head.split(";") == list(sinks.CSV_COLUMNS) and len(sinks.CSV_COLUMNS) == 19
+    assert row.startswith("1;;") and ";a|b;" in row and '"x;y"' in row and row.endswith(";1.2") and table.startswith(b"\xef\xbb\xbf")
     assert sinks.changes_csv([]).count(b"\n") == 1
     note = tmp_path / "n.txt"
-    sinks.coverage_note(note, [str(k) for k in range(10)], 12)
-    assert "+2 weitere" in note.read_text()
-    sinks.coverage_note(note, [], 12)
+    sinks.coverage_note(note, "UNVOLLSTÄNDIG")
+    assert note.read_text() == "UNVOLLSTÄNDIG\n"
+    sinks.coverage_note(note, None)
+    sinks.coverage_note(note, None)
     assert not note.exists()
-    assert "<del>alt</del><ins>neu</ins>" in sinks.annotated_html("t", [{"kind": "similar", "old_text": "alt", "new_text": "neu"}])
+    page = sinks.annotated_html("t", [{"kind": "similar", "old_text": "alt", "new_text": "neu", "head": "1", "section": "1.1", "cells": [["a", "b"]], "old_cells": [["A", "c"]]}], [{"section": "1", "old": "5 %", "new": "2 %", "value_class": "value_changed"}], {"x": b"png"})
+    assert "<del>alt</del><ins>neu</ins>" in page and "<td>a</td><td class=changed>b</td>" in page and "<td>5 %</td><td>2 %</td>" in page and "base64," in page and "<h2>1 </h2>" in page
     assert json.loads(sinks.manifest({"a": b"x"}, {"tau": 0.62}, "2020-01-01"))["parameters"] == {"tau": 0.62}
+    assert "| scope | 2 | 0 |" in sinks.component_markdown([{"component": "scope", "direction": "relaxed", "n": 2}, {"component": "none", "direction": "tightened", "n": 1}])
+    tables = spark.createDataFrame([("t1", [["a", 'b"c'], ["d,e", None]])], "table_id string, cells array<array<string>>")
+    assert tables.select(sinks.csv_text(F.col("cells"))).first()[0] == 'a,"b""c"\n"d,e",'
+    sinks.write_tables(tables, f"{tmp_path}/tables")
+    assert spark.read.text(f"{tmp_path}/tables/table_id=t1").count() == 2
+    for made in (sinks.pptx("T", [{"head": "1", "title": "Zweck", "lines": ["a & b"]}]), sinks.final_docx("T", [{"new_id": "1", "title": "Zweck", "value_changes": [{"old": "5 %", "new": "2 %"}]}])):
+        names = zipfile.ZipFile(io.BytesIO(made)).namelist()
+        assert all(ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(made)).read(n)) is not None for n in names) and "[Content_Types].xml" in names
+
+
+def test_layout_lines_become_paragraphs(spark):
+    from stemma.sources import layout
+
+    texts = [
+        (1, 50, 8, "TR 1000:2026"), (1, 100, 14, "1 Zweck"), (1, 130, 10, "Diese Regel gilt für alle"), (1, 142, 10, "Anlagen am Netz."), (1, 180, 10, "– erster Punkt"), (1, 192, 10, "– zweiter Punkt"), (1, 790, 8, "1"),
+        (2, 50, 8, "TR 1000:2026"), (2, 100, 10, "Tabelle 3 – Grenzwerte der"), (2, 112, 10, "Spannung"), (2, 140, 14, "2 Begriffe"), (2, 170, 10, "2.1 Anlage"), (2, 200, 10, "Eine Anlage ist alles, was nach der hier folgenden Tabelle 3 empfohlen"), (2, 212, 10, "wird."),
+        (2, 240, 10, "P = U · I = 3 (7)"), (2, 270, 10, "ANMERKUNG Das gilt nicht immer."), (2, 790, 8, "2"), (3, 50, 8, "TR 1000:2026"), (3, 100, 14, "Anhang A (informativ) Beispiele"), (3, 130, 10, "Ein Beispiel."), (3, 790, 8, "3"),
+    ]
+    lines = spark.createDataFrame([("d", k, p, float(y), 10.0, 200.0, float(s), s > 12, ["F"], t, 800.0) for k, (p, y, s, t) in enumerate(texts)], "doc string, ix int, page int, y double, x double, x1 double, size double, bold boolean, fonts array<string>, text string, page_height double")
+    outline = spark.createDataFrame([("d", 0, "Inhalt", 1), ("d", 1, "1 Zweck", 1), ("d", 2, "2 Begriffe", 2), ("d", 3, "Anhang A (informativ) Beispiele", 3), ("d", 4, "3 danach", 3), ("d", 5, "TR 1000", 1)], "doc string, ix int, title string, page int")
+    found = layout.outline_sections(outline, spark.createDataFrame([("d", "TR 1000")], "doc string, doc_title string"))
+    assert [(r["section_id"], r["part"]) for r in found.orderBy("ix").collect()] == [("1", "hauptteil"), ("2", "hauptteil"), ("A", "anhang_informativ")]
+    rows = layout.read_layout(lines, outline).filter("par_ix is not null").orderBy("sec_ix", "par_ix").collect()
+    assert [(r["section_id"], r["kind"], r["n0"]) for r in rows] == [
+        ("1", "text", "Diese Regel gilt für alle Anlagen am Netz."), ("1", "list", "– erster Punkt"), ("1", "list", "– zweiter Punkt"), ("1", "caption", "Tabelle 3 – Grenzwerte der Spannung"),
+        ("2", "term", "Anlage"), ("2", "text", "Eine Anlage ist alles, was nach der hier folgenden Tabelle 3 empfohlen wird."), ("2", "formula", "P = U · I = 3 (7)"), ("2", "note", "ANMERKUNG Das gilt nicht immer."), ("A", "text", "Ein Beispiel."),
+    ]
+    spans = spark.createDataFrame([("d", 1, 0, 5.0, "p"), ("d", 1, 1, 2.0, "i"), ("d", 1, 2, 2.0, "_")], "doc string, line int, k int, x double, text string")
+    assert layout.reading_order(spans).first()["text"] == "i_p"
+    assets = spark.createDataFrame([("d", "a", 2), ("d", "b", 9)], "doc string, asset_id string, page int")
+    pages = spark.createDataFrame([("d", 1, 2), ("d", 0, 2)], "doc string, sec_ix int, page int")
+    assert [tuple(r) for r in layout.claimed_assets(assets, pages).collect()] == [("d", "a", 0)]
+    assert layout.read_layout(lines.limit(0), outline).count() == 0
+
+
+def test_stages_say_what_is_missing(spark, tmp_path):
+    from stemma import stages
+
+    run = stages.Stages(spark, f"{tmp_path}/run")
+    with pytest.raises(stages.MissingInputError, match="align"):
+        run.load("links", "align")
+    assert run.save("links", spark.range(3)).count() == 3 == run.load("links", "align").count()
