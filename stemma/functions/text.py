@@ -95,12 +95,8 @@ def let(value: Column, body) -> Column:
 
 
 def char_ngrams(text: Column) -> Column:
-    """Character 3- and 4-grams of a text with a space before and behind."""
-
-    def grams(padded: Column, n: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
-        return F.filter(F.transform(at, lambda k: F.substring(padded, k, F.lit(n))), lambda g: F.length(g) == n)
-
+    """Character 3- and 4-grams of a text with a space before and behind, in one pass for each size."""
+    grams = lambda padded, n: F.regexp_extract_all(padded, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
     return let(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), lambda p: F.concat(grams(p, 3), grams(p, 4)))
 
 

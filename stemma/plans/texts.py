@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.functions import text as forms
 from stemma.functions.keywords import topics
-from stemma.operators.align import mapping_id, qualified_id
+from stemma.operators import joins
+from stemma.operators.align import mapping_id, qualified_name
 from stemma.plans.paragraphs import PARAGRAPHS_SQL, edition_paragraphs, table
 
 
@@ -39,9 +40,15 @@ def char_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(50)
 
 
+#: Documents whose rows are ranked together.
+SLICE = 1024
+
+
 def qualified_section_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("lang").alias("section_id"))
-    return sections.select("doc_id", qualified_id("section_id", "doc_id", ["source"]).alias("qualified_id"))
+    """Sources as documents with the language as section id; a source may hold much of the table."""
+    sections = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("lang").alias("section_id"), F.floor(F.col("doc_id") / SLICE).alias("slice"))
+    rows = joins.ranked(sections, ["source", "section_id"], "slice", ["doc_id"])
+    return rows.select("doc_id", qualified_name(F.col("section_id"), F.col("rank"), F.col("total")).alias("qualified_id"))
 
 
 def mapping_id_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,17 +84,17 @@ def balance_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The k-th old and the k-th new paragraph of a key, by one shuffle on the key.
+    """The k-th old and the k-th new paragraph of a key.
 
-    Ranks are unique per side, so the group of (key, rank) holds a pair at most.
+    Ranks are unique per side, so the group of (key, rank) holds a pair at most, and a line that
+    is common in all documents is ranked in slices.
     """
     rows = edition_paragraphs(table(spark, sf_dir, "documents"))
     key = forms.compare_key(F.col("n0"))
-    keyed = rows.select("edition", "chapter", "sec_ix", "par_ix", F.md5(key.cast("binary")).alias("k")).filter(key != "")
-    place = Window.partitionBy("chapter", "k", "edition").orderBy("sec_ix", "par_ix")
-    ranked = keyed.withColumn("rank", F.row_number().over(place))
-    old = ranked.filter("edition = 'old'").select("chapter", "k", "rank", F.col("sec_ix").alias("old_sec"), F.col("par_ix").alias("old_par"))
-    new = ranked.filter("edition = 'new'").select("chapter", "k", "rank", F.col("sec_ix").alias("new_sec"), F.col("par_ix").alias("new_par"))
+    keyed = rows.select("edition", "chapter", "sec_ix", "par_ix", F.md5(key.cast("binary")).alias("k"), F.floor(F.col("sec_ix") / SLICE).alias("slice")).filter(key != "")
+    placed = joins.ranked(keyed, ["chapter", "k", "edition"], "slice", ["sec_ix", "par_ix"])
+    old = placed.filter("edition = 'old'").select("chapter", "k", "rank", F.col("sec_ix").alias("old_sec"), F.col("par_ix").alias("old_par"))
+    new = placed.filter("edition = 'new'").select("chapter", "k", "rank", F.col("sec_ix").alias("new_sec"), F.col("par_ix").alias("new_par"))
     return old.join(new, ["chapter", "k", "rank"]).drop("k").select("chapter", "rank", "old_sec", "old_par", "new_sec", "new_par")
 
 
