@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.plans import diffs, enrich, forms, links, measures, paragraphs, reviews, texts
+from stemma.plans import comparison, diffs, enrich, forms, links, measures, paragraphs, reviews, texts
 
-MODULES = (paragraphs, texts, enrich, links, reviews, diffs, forms, measures)
+MODULES = (paragraphs, texts, enrich, links, reviews, diffs, forms, measures, comparison)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
