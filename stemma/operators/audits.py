@@ -190,6 +190,39 @@ def rechecked(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     return both.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def balance_grid(balance: DataFrame, thresholds: tuple[float, ...] = (0.4, 0.5, 0.6, 0.7, 0.8), sizes: tuple[int, ...] = (0, 3, 5, 10)) -> DataFrame:
+    """(threshold, size, n, n_two_sided): chapters out of balance for every threshold and least size."""
+    larger = F.greatest("n_old", "n_new")
+    cells = F.array(*(F.struct(F.lit(t).alias("threshold"), F.lit(m).alias("size")) for t in thresholds for m in sizes))
+    hit = balance.select("n_old", "n_new", F.explode(F.filter(cells, lambda c: (F.col("imbalance") >= c["threshold"]) & (larger >= c["size"]))).alias("c"))
+    return hit.groupBy("c.threshold", "c.size").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("n_old") > 0) & (F.col("n_new") > 0)).alias("n_two_sided"))
+
+
+def loudest(balance: DataFrame, n: int = 10) -> DataFrame:
+    """The chapters with the largest surplus of old paragraphs."""
+    return balance.orderBy(F.desc("old_surplus"), "pair_id", "mapping").limit(n)
+
+
+def review_combinations(entries: DataFrame) -> DataFrame:
+    """(reasons, n_reasons, n): review entries by the reasons they carry together."""
+    return entries.groupBy(F.array_join("review_reasons", " + ").alias("reasons"), F.size("review_reasons").alias("n_reasons")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def snapshot(changes: DataFrame, chapters: DataFrame, guards: DataFrame | None = None) -> DataFrame:
+    """(pair_id, metric, value): what a later run must not fall below without a reason."""
+    kinds = changes.groupBy("pair_id", F.concat(F.lit("changes."), "kind").alias("metric")).agg(F.count(F.lit(1)).alias("value"))
+    out = kinds.unionByName(chapters.groupBy("pair_id", F.lit("chapters").alias("metric")).agg(F.count(F.lit(1)).alias("value")))
+    if guards is not None:
+        out = out.unionByName(guards.groupBy("pair_id", F.lit("evidence_ok").alias("metric")).agg(F.count_if("guard.ok").alias("value")))
+    return out
+
+
+def snapshot_drops(before: DataFrame, after: DataFrame, hard: tuple[str, ...] = ("evidence_ok", "chapters")) -> DataFrame:
+    """(pair_id, metric, before, after, dropped): metrics side by side; hard ones must not drop."""
+    both = before.withColumnRenamed("value", "before").join(after.withColumnRenamed("value", "after"), ["pair_id", "metric"], "full_outer")
+    return both.withColumn("dropped", F.col("metric").isin(*hard) & (F.coalesce("after", F.lit(0)) < F.coalesce("before", F.lit(0))))
+
+
 def pairing_causes(left: DataFrame, scores: DataFrame, least: float) -> DataFrame:
     """(by..., table_id, cause): why a leftover table has no partner.
 

@@ -81,6 +81,14 @@ def pair_statistics(changes: DataFrame, chapters: DataFrame) -> DataFrame:
     return totals.join(moved, "pair_id", "left")
 
 
+def build_statistics(paragraphs: DataFrame, changes: DataFrame, chapters: DataFrame) -> DataFrame:
+    """One row per pair: the statistics of both editions beside those of the comparison."""
+    each = document_statistics(paragraphs, ["pair_id", "edition"])
+    facts = [c for c in each.columns if c not in ("pair_id", "edition")]
+    sides = {e: each.filter(F.col("edition") == e).select("pair_id", F.struct(*facts).alias(e)) for e in ("old", "new")}
+    return sides["old"].join(sides["new"], "pair_id", "full_outer").join(pair_statistics(changes, chapters), "pair_id", "left")
+
+
 # ---------------------------------------------------------------- per chapter
 
 

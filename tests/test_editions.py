@@ -393,3 +393,43 @@ def test_short_forms(spark):
     assert c(interpretation.rendered_cells(F.array(F.array("a", "b"), F.array("c"))), (" x ", "y", "z")) == ["x | y ‖ z"]
     assert c(interpretation.rendered_cells(F.array_repeat(F.array("a"), 42)), ("x", "", ""))[0].endswith("x … (+2 Zeilen)")
     assert c(diff.qualifiers(a), ("Nur ggf. möglichst, in der Regel ggf.", "", "")) == [["ggf.", "in der regel", "möglichst", "nur"]]
+
+
+def test_interpretation_from_frozen_answers(spark, found):
+    from stemma.interpret import interpret, summaries
+
+    none = spark.createDataFrame([], "key string, answer string")
+    asked = interpret(found, none, "m", "Deutsch", "TR")
+    assert {r["outcome"] for r in asked.outcomes.collect()} == {"export"} and asked.rows.count() == 0
+    keys = {(r["pair_id"], r["tag"]): r["key"] for r in asked.resolved.collect()}
+    answer = '{"interpretations": [{"change_index": 0, "semantic_status": "narrowed", "normative_direction": "tightened", "affected_components": ["limit_value"], "evidence": "mit einer Leistung über 30 kW", "change": "x"}]}'
+    got = interpret(found, spark.createDataFrame([(keys["trx", "2_2"], answer), (keys["trx", "5_5"], answer)], "key string, answer string"), "m", "Deutsch", "TR")
+    rows = {r["mapping"]: r for r in got.rows.collect()}
+    assert rows["2<2"]["evidence_ok"] and rows["2<2"]["evidence_unique"] and not rows["5<5"]["evidence_ok"] and rows["5<5"]["structural_operation"] == "modified"
+    assert [(r["mapping"], r["review_reasons"]) for r in got.review_queue.collect()] == [("5<5", ["evidence_ok"])]
+    assert got.coverage.agg(F.sum("n_interpreted")).first()[0] == 2
+    assert summaries(found).filter("pair_id = 'trx' and mapping = '<11'").first()["summary_old"].startswith("Bestehende Speicher")
+
+
+def test_leftover_measures(spark, found):
+    grid = {(r["threshold"], r["size"]): r["n"] for r in audits.balance_grid(found.balance).collect()}
+    assert grid[0.8, 0] >= 2 and (0.8, 10) not in grid and audits.loudest(found.balance, 1).first()["old_surplus"] == 3
+    snap = audits.snapshot(found.changes, found.chapters)
+    assert snap.filter("pair_id = 'trx' and metric = 'changes.similar'").first()["value"] == 4
+    assert audits.snapshot_drops(snap, snap.filter("metric <> 'chapters'")).filter("dropped").count() == 4
+    entries = spark.createDataFrame([(["a", "b"],), (["a"],), (["a", "b"],)], "review_reasons array<string>")
+    assert {(r["reasons"], r["n"]) for r in audits.review_combinations(entries).collect()} == {("a + b", 2), ("a", 1)}
+    words = spark.createDataFrame([("tightened",), ("x",)], "w string").select(captions.label(F.col("w")).alias("l")).collect()
+    assert [r["l"] for r in words] == ["verschärft", "x"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from stemma.__main__ import main
+
+    (tmp_path / "a.md").write_text("## 1 Zweck\n\nDer Wert darf 5 % nicht überschreiten.\n\n- gleich geblieben ist dies\n")
+    (tmp_path / "b.md").write_text("## 1 Zweck\n\nDer Wert darf 2 % nicht überschreiten.\n\n- gleich geblieben ist dies\n")
+    main(["compare", f"{tmp_path}/a.md", f"{tmp_path}/b.md", f"{tmp_path}/out"])
+    assert capsys.readouterr().out.strip().endswith("similar: 1")
+    assert "<td>5 %</td><td>2 %</td>" in (tmp_path / "out/synopsis.html").read_text() and (tmp_path / "out/manifest.json").exists() and (tmp_path / "out/tables/changes/_SUCCESS").exists()
+    main(["inspect", f"{tmp_path}/b.md"])
+    assert "2 %" in capsys.readouterr().out

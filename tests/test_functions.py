@@ -70,6 +70,15 @@ def test_modality(spark, sentence, label):
     assert one(spark, modality.label, sentence) == label
 
 
+def test_deontic(spark):
+    got = one(spark, modality.deontic, "Ein Nachweis ist nicht erforderlich.")
+    assert got.asDict() == {"label": "darf", "type": "pflicht", "polarity": "negativ", "class": "zulaessigkeit"}
+    assert one(spark, modality.deontic, "Der Wert darf 5 % nicht überschreiten.").asDict() == {"label": "darf_nicht", "type": "erlaubnis", "polarity": "negativ", "class": "verbot"}
+    assert one(spark, modality.deontic, "Anlagen dürfen betrieben werden.")["type"] == "erlaubnis" and one(spark, modality.deontic, None)["class"] == "informativ"
+    labels = spark.createDataFrame([(["muss", "darf", "muss"],), ([],)], "l array<string>").select(modality.paragraph_labels(F.col("l")).alias("p"), modality.is_normative(modality.strongest(F.col("l"))).alias("n")).collect()
+    assert labels[0]["p"].asDict() == {"max": "muss", "counts": {"darf": 1, "muss": 2}} and labels[0]["n"] and labels[1]["p"]["max"] == "informativ" and not labels[1]["n"]
+
+
 def test_shift(spark):
     pairs = [("muss", "darf", "gelockert"), ("sollte", "muss", "verschaerft"), ("kann", "darf", "unveraendert"), ("informativ", "informativ", "unveraendert")]
     got = spark.createDataFrame(pairs, "a string, b string, w string").filter(modality.shift(F.col("a"), F.col("b")) != F.col("w"))
