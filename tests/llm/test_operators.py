@@ -125,6 +125,51 @@ def test_language_of_held_out_rows(spark, docs):
     assert kept.columns == docs.columns and kept.filter("text is null or text = ''").count() == 0
 
 
+def plain_ngrams(text):
+    """Byte n-grams by the definition: lower case, ASCII that is no letter as a space, runs of spaces as one."""
+    import math
+
+    raw = " " + re.sub(r"[\x00-\x60\x7b-\x7f]", " ", text.lower()) + " "
+    b = [x for k, x in enumerate(raw.encode()) if x != 32 or k == 0 or raw.encode()[k - 1] != 32]
+    counts = [0] * language.BUCKETS
+    for n in (1, 2, 3):
+        for k in range(len(b) - n + 1):
+            two = b[k] * 257 + b[k + 1] if n > 1 else 0
+            gram = b[k] if n == 1 else two * 31 + 7 if n == 2 else (two * 263 + b[k + 2]) * 17 + 3
+            counts[(gram ^ gram >> 9) & language.BUCKETS - 1] += 1
+    norm = math.sqrt(sum(counts))
+    return [math.sqrt(c) / norm for c in counts]
+
+
+def test_decoding_equals_its_definition():
+    import math
+
+    rng = np.random.default_rng(4)
+    code = language.codewords(4)
+    model = language.LanguageModel(["de", "en", "es", "fr"], code, rng.standard_normal((language.BUCKETS, code.shape[1])).astype(np.float32), rng.standard_normal(code.shape[1]).astype(np.float32), rng.random((4, code.shape[1])), 2.0)
+    texts = ["Über die Brücke", "a", "x" * 5000 + " 12 ÄÖ", "der the el le " * 2000, "ñ ß é"]
+    for text, (name, score, ambiguous) in zip(texts, model.predict(texts)):
+        x = plain_ngrams(text)
+        bits = [sum(a * float(w) for a, w in zip(x, model.weights[:, k])) + float(model.bias[k]) for k in range(code.shape[1])]
+        loss = [sum(r * math.log1p(math.exp(-c * b)) for r, c, b in zip(rel, row, bits)) for rel, row in zip(model.reliability, code)]
+        weight = [math.exp(-2.0 * (v - min(loss))) for v in loss]
+        p = sorted((w / sum(weight) for w in weight), reverse=True)
+        assert name == model.languages[loss.index(min(loss))] and abs(score - p[0]) < 1e-3
+        assert ambiguous == (p[0] - p[1] < language.MARGIN) or abs(p[0] - p[1] - language.MARGIN) < 1e-3
+    flat = language.LanguageModel(model.languages, code, model.weights * 0, model.bias * 0, np.ones_like(model.reliability))
+    assert flat.predict(["abc"]) == [("de", 0.25, True)]  # equally near: the first by name
+
+
+def test_language_of_repeated_and_long_rows(spark):
+    rows = [(k, ("the thing " if k % 2 else "der schnee ") * (1 + k % 7), "en" if k % 2 else "de") for k in range(80)] + [(1, "the thing", "en")] * 3 + [(900, "der schnee " * 200_000, None), (901, "", "de")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("x") for c in ("p", "predicted", "grams")})
+    model = language.train(frame, F.lit(True))
+    got = frame.select("doc_id", language.predictions(F.col("text"), model).alias("x")).select("doc_id", "x.lang_pred").collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got if r["doc_id"] == 900} == {"de"} and {r["lang_pred"] for r in got if r["doc_id"] == 901} == {"und"}
+    assert [r["lang_pred"] for r in got if r["doc_id"] == 1] == ["en"] * 4
+    assert language.drop_unknown(frame, model).columns == frame.columns
+
+
 def distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -371,6 +416,16 @@ def test_join_finds_every_link(spark, near):
     assert sorted(r["n"] for r in n) == sorted(sum(k in pair for pair in links) for k in range(len(texts)))
 
 
+def test_long_texts_link(spark):
+    rnd = random.Random(31)
+    long = [f"w{rnd.randrange(90_000)}" for _ in range(120_000)]
+    texts = [" ".join(long), " ".join(["x", *long[1:]]), " ".join(long[:60_000]), "a b c d e", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, classes, verified = jaccard.join(frame)
+    n = {r["doc_id"]: r["n"] for r in jaccard._with_classes(rows, classes, verified.groupBy("sig").agg(F.sum("n").alias("fact"))).select("doc_id", F.coalesce("fact", F.lit(0)).alias("n")).collect()}
+    assert n == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0}
+
+
 def test_one_of_each_group_stays(spark, near):
     texts, frame = near
     root = list(range(len(texts)))
@@ -479,6 +534,14 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(spark, warc.write_archives(frame.limit(0), shared_dir(spark, "t"))).count() == 0
 
 
+def test_long_pages_and_equal_archives(spark):
+    long = "<p>" + "ü" * 3_000_000
+    frame = spark.createDataFrame([(k, "u", long if k in (3, 5) else f"<p>{k}" * 400) for k in range(40)], "page_id long, url string, html string").repartition(1).sortWithinPartitions("page_id")
+    paths = [warc.write_archives(frame, shared_dir(spark, "t")) for _ in range(2)]
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, paths[0]).collect()}
+    assert got[3] == (6_000_003, "revisit", 5) and got[5] == (6_000_003, "response", None) and len(got) == 40
+
+
 def test_archive_faults_are_found():
     import zstandard
 

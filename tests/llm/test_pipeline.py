@@ -35,3 +35,21 @@ def test_stages(spark, tmp_path):
     assert kept["decontamination"] == kept["near_duplicates"] - {21}
     assert kept["tokens"] == kept["secrets"] == kept["decontamination"]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept["tokens"]
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null benchmark items, further columns with names that clash, repeated rows, and empty documents."""
+    rows = [(k, f"the thing number {k} is here and there with many other words of its own {k * 7} " * 3, "en", "s", 1, "x", "y") for k in range(30)] + [(3, None, None, None, None, None, None)]
+    rows += [rows[5]] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, sig string, row_key string")
+    frame.write.parquet(f"{tmp_path}/full/documents.parquet")
+    frame.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    for name in ("full", "empty"):
+        spark.createDataFrame([(1, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    docs = read_table(spark, f"{tmp_path}/full", "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/full")
+        assert docs.columns == frame.columns
+    assert sorted(r["doc_id"] for r in docs.collect()) == list(range(30))
+    assert corpus_pipeline.run(spark, f"{tmp_path}/full").count() == 30
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
