@@ -51,7 +51,9 @@ BROADCAST_ROWS = 200_000
 #: Paths (a long each) that are broadcast, at most.
 BROADCAST_PATHS = 1_000_000
 #: Links that a task remembers so as not to give them twice.
-LINKS_KEPT = 200_000
+LINKS_KEPT = 50_000
+#: Characters of texts whose words are hashed at once.
+TOGETHER = 1 << 19
 
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -75,7 +77,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+    """Sorted distinct shingle hashes of each text; texts of about TOGETHER characters are hashed at once."""
+    out, some, size = [], [], 0
+    for k, t in enumerate(texts):
+        some.append(t)
+        size += len(t or "")
+        if size >= TOGETHER or k == len(texts) - 1:
+            out += _sets(some)
+            some, size = [], 0
+    return out
+
+
+def _sets(texts: list[str | None]) -> list[np.ndarray]:
     hashes, counts = word_hashes(texts)
     out, at = [], 0
     n = len(hashes)
