@@ -14,8 +14,8 @@ def summary(paragraphs: DataFrame) -> DataFrame:
     body = paragraphs.filter("par_ix is not null")
     totals = paragraphs.agg(F.countDistinct("sec_ix").alias("sections"), F.count("par_ix").alias("paragraphs"), F.sum(F.when(F.col("par_ix").isNotNull(), F.size("values")).otherwise(0)).alias("n_values"))
     labels = body.groupBy("modality").agg(F.count(F.lit(1)).alias("n")).agg(F.sort_array(F.collect_list(F.struct("n", "modality")), asc=False).alias("l"))
-    row = labels.select(F.array_join(F.transform("l", lambda x: F.concat(x["modality"], F.lit("="), x["n"])), ", ").alias("modality"))
-    return totals.join(F.broadcast(row))  # one row each
+    said = labels.select(F.array_join(F.transform("l", lambda x: F.concat(x["modality"], F.lit("="), x["n"])), ", ")).first()[0]  # one row of six labels at most
+    return totals.withColumn("modality", F.lit(said))
 
 
 def render(paragraphs: DataFrame, title: str = "") -> str:

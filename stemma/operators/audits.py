@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.functions.text import n2, sentences
 from stemma.operators import joins
 
 BY = ["pair_id", "mapping"]
-# What is too short to be judged, and the rules of wider candidate circles.
-FRAGMENT_CHARS, FRAGMENT_WORDS, RULES = 25, 7, ("A", "B", "C", "D")
+#: Parts of the range of values that are ranked by themselves.
+SLICES = 1000
+# What is too short to be judged, and the words by which free text says what a change is.
+FRAGMENT_CHARS, FRAGMENT_WORDS = 25, 7
 VOICES = {
     "voice_elsewhere": ["verschob", "verschieb", "übernommen", "übernahme", "überführt", "integriert", "ersetzt", "umplatzier", "an anderer stelle", "hierher", "fortgeführt", "umgestellt in"],
     "voice_present": [
@@ -156,17 +158,20 @@ def disagreement_signatures(pairs: DataFrame) -> DataFrame:
 def quantiles(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """(by..., n, least, q1, median, q3, most): quartiles by the exclusive method, at (n + 1) p.
 
-    Values are ranked in one group per `by`, for measurements that are as few as the changes of a
-    pair; positions between two values are interpolated, and kept within the data.
+    Values are ranked in slices of their range, so a group is not one task; positions between two
+    values are interpolated, and kept within the data.
     """
     by = by or []
-    window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"), F.row_number().over(window.orderBy(value)).alias("k"), F.count(F.lit(1)).over(window).alias("n"))
+    v = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    low, high = v.agg(F.min("v"), F.max("v")).first()
+    step = ((high or 0.0) - (low or 0.0)) / SLICES or 1.0
+    sliced = v.withColumn("slice", F.floor((F.col("v") - F.lit(low or 0.0)) / F.lit(step)))
+    ranked = joins.ranked(sliced, by, "slice", ["v"], "k", "n")
 
     def at(p: float) -> Column:
         place = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), (F.col("n") + 1) * F.lit(p)))
-        low = F.floor(place)
-        weight = F.when(F.col("k") == low, 1 - (place - low)).when(F.col("k") == low + 1, place - low).otherwise(0.0)
+        first = F.floor(place)
+        weight = F.when(F.col("k") == first, 1 - (place - first)).when(F.col("k") == first + 1, place - first).otherwise(0.0)
         return F.sum(F.col("v") * weight)
 
     return ranked.groupBy(*by).agg(F.max("n").alias("n"), F.min("v").alias("least"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max("v").alias("most"))

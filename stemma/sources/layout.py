@@ -93,8 +93,8 @@ def without_page_edges(lines: DataFrame) -> DataFrame:
 
 
 def body_sizes(lines: DataFrame) -> DataFrame:
-    """(doc, body_size): the most frequent rounded font size."""
-    return lines.groupBy("doc").agg(F.mode(F.round("size")).alias("body_size"))
+    """(doc, body_size): the most frequent rounded font size, the least among equals."""
+    return lines.groupBy("doc").agg(F.mode(F.round("size"), True).alias("body_size"))
 
 
 def claimed_assets(assets: DataFrame, section_pages: DataFrame) -> DataFrame:
