@@ -433,3 +433,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert "<td>5 %</td><td>2 %</td>" in (tmp_path / "out/synopsis.html").read_text() and (tmp_path / "out/manifest.json").exists() and (tmp_path / "out/tables/changes/_SUCCESS").exists()
     main(["inspect", f"{tmp_path}/b.md"])
     assert "2 %" in capsys.readouterr().out
+
+
+def test_lines_of_one_place_have_one_order(spark):
+    chapters = spark.createDataFrame([("p", "m", 0, "1", None)], "pair_id string, mapping string, chapter_ix int, new_id string, old_id string")
+    rows = [("p", "m", 7, 0, "1", str(n), "9", "value_changed") for n in (46, 18, 100, 5, 46)]
+    schema = "pair_id string, mapping string, change_ix int, k int, section string, old string, new string, value_class string"
+    for some in (rows, rows[::-1], rows[2:] + rows[:2]):
+        lines = reports.parameter_groups(spark.createDataFrame(some, schema).coalesce(1), chapters).orderBy("place").collect()
+        assert [r["line"] for r in lines] == [f"1: {n} → 9" for n in (5, 18, 46, 46, 100)]
