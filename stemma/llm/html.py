@@ -14,8 +14,9 @@ in slots of the article belongs to it, text in slots of left-out nodes does not,
 that the wrapper does not know are judged by their own tag.
 
 Wrappers are folded within each task, page by page, then merged per host in two steps, so no
-task holds the pages of a host. Nodes that few pages share leave a wrapper that has grown
-beyond `NODES_KEPT`; they are judged as unknown ones, and no text is lost with them. The
+task holds the pages of a host. A wrapper is whole: every element that holds text on some page
+of the host is a node, however few pages have it. What grows beyond `NODES_KEPT` in a task is
+handed on and merged, not cut; the merging task holds the distinct nodes of a host. The
 table of plans has one short row per host; it is broadcast only if its measured size is
 small, else joined with the host's pages spread over salts.
 
@@ -95,7 +96,7 @@ WORDS = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
 #: Levels of elements that a wrapper knows.
 DEPTH = 100
-#: Nodes of a wrapper, and of all wrappers of a task, from which rare ones leave or wrappers are handed on.
+#: Nodes of a wrapper, and of all wrappers of a task, from which wrappers are handed on.
 NODES_KEPT, TASK_NODES = 20_000, 200_000
 #: Pages from which text that never differs is told from text that does.
 SURE_PAGES = 3
@@ -320,7 +321,11 @@ def fold(items: list[Node]) -> list[Node]:
 
 
 def page_tree(page: str) -> Node:
-    """The folded token stream of a page; inline elements are no tokens, link text is marked."""
+    """The folded token stream of a page; inline elements are no tokens, link text is marked.
+
+    Elements without text say nothing of a page and are no tokens either, but for headings,
+    by which a header is known.
+    """
     root = Node("")
     stack: list[tuple[Node, bool, bool]] = [(root, False, False)]  # node, whether its own, inside a link
     for kind, x in walk(page):
@@ -334,7 +339,9 @@ def page_tree(page: str) -> Node:
                 stack.append((node, True, link))
         elif kind == "close":
             node, own, _ = stack.pop()
-            if own:
+            if own and not node.items and parts_of(node.sign)[0] not in HEADINGS:
+                stack[-1][0].items.pop()
+            elif own:
                 node.items = fold(node.items)
         elif kind == "text" and x and not x.isspace():
             if not top.items or top.items[-1].sign != SLOT:
@@ -360,38 +367,21 @@ class HostWrapper:
             self.root, self.nodes = root, size
             return
         absorb(self.root, root, False)
-        self.nodes += size  # at most; counted anew when that seems too many
-        if self.nodes > NODES_KEPT:
-            self.nodes = self.root.size()
-            if self.nodes > NODES_KEPT:
-                self.prune()
+        self.nodes += size  # at most
 
     def add_page(self, page: str) -> None:
         self.add(page_tree(page))
 
-    def prune(self) -> None:
-        """Nodes of the fewest pages leave; one that half of the pages have stays."""
-        pages = sorted(_pages(self.root), reverse=True)
-        least = min(pages[NODES_KEPT // 2] + 1, self.root.pages // 2 + 1)
-        todo = [self.root]
-        while todo:
-            node = todo.pop()
-            node.items = [n for n in node.items if n.pages >= least]
-            todo += node.items
-        self.nodes = self.root.size()
+    def is_full(self) -> bool:
+        """Whether there are too many nodes for further pages; counted when it seems so."""
+        if self.nodes > NODES_KEPT:
+            self.nodes = self.root.size()
+        return self.nodes > NODES_KEPT
 
     def as_row(self) -> str:
         return json.dumps(self.root.as_list(), separators=(",", ":"))
 
 
-def _pages(root: Node) -> Iterator[int]:
-    todo = list(root.items)
-    while todo:
-        node = todo.pop()
-        yield node.pages
-        todo += node.items
-
-
 # ---------------------------------------------------------------- plans
 
 #: What a plan says of a node: nothing, it holds the article, it is left out, it is kept.
@@ -572,8 +562,8 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         hosts: dict[str, HostWrapper] = {}
         part, nodes = TaskContext.get().partitionId() % 32, 0
 
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame([(h, part, w.as_row()) for h, w in sorted(hosts.items())], columns=["host", "part", "wrapper"])
+        def rows(done: dict[str, HostWrapper]) -> pd.DataFrame:
+            return pd.DataFrame([(h, part, w.as_row()) for h, w in sorted(done.items())], columns=["host", "part", "wrapper"])
 
         for batch in batches:
             for host, page in zip(batch["host"], batch["html"]):
@@ -581,12 +571,15 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
                     w = hosts.setdefault(host, HostWrapper())
                     nodes -= w.nodes
                     w.add_page(page)
+                    if w.is_full():
+                        yield rows({host: hosts.pop(host)})
+                        continue
                     nodes += w.nodes
                     if nodes > TASK_NODES:  # a task holds so many at most, and one page
-                        yield rows()
+                        yield rows(hosts)
                         hosts.clear()
                         nodes = 0
-        yield rows()
+        yield rows(hosts)
 
     def merged(group: Iterator[pd.DataFrame]) -> HostWrapper:
         whole = HostWrapper()

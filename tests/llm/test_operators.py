@@ -678,3 +678,29 @@ def test_pages_of_every_kind(spark):
     got = html.extract(frame).collect()
     assert sorted(r["n_chars"] for r in got) == sorted([0, 0, 1, 7, 499_999, *2 * [len(html.extract_text(PAGE))]])
     assert html.extract(frame.limit(0)).count() == 0
+
+
+def letters(n):
+    return "".join("abcdefghij"[int(d)] for d in f"{n:05d}")
+
+
+def rare_page(k, parts):
+    """An article with marked parts that no other page has; two pages have a doubtful one, which is mostly links."""
+    own = "".join(f"<div class=u{letters(k * parts + j)}q>part {k} {j}</div>" for j in range(parts))
+    rare = ["<p class=more-related-q><a href=/x>another page like this</a></p>", "<p class=more-related-q>see</p>"][k] if k < 2 else ""
+    return f"<body><article><p>text {k}</p>{own}{rare}</article></body>", "\n".join([f"text {k}", *(f"part {k} {j}" for j in range(parts))])
+
+
+def test_rare_parts_of_a_large_wrapper_count():
+    pages = [rare_page(k, 3000) for k in range(8)]
+    w = wrapper_of(*(page for page, _ in pages))
+    assert w.root.size() > 2 * html.NODES_KEPT and w.is_full()
+    assert [html.extract_text(page, html.plan(w.root)) for page, _ in pages] == [text for _, text in pages]
+    assert html.page_tree("<article><div class=a></div><div>x<b></b></div><header class=b><h2></h2></header></article>").show() == "<article <div # </div <header.b <h2 </h2 </header </article"
+
+
+def test_large_wrappers_are_handed_on_whole(spark):
+    pages = [rare_page(k, 3000) for k in range(12)]
+    rows = [(k, "http://a.b/", page) for k, (page, _) in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    assert {r["page_id"]: r["text"] for r in html.extract(frame).collect()} == {k: text for k, (_, text) in enumerate(pages)}
