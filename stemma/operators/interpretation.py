@@ -115,11 +115,13 @@ def candidates(answer: Column) -> Column:
 def matched_chars(fragment: Column, hay: Column) -> Column:
     """Letters of the longest beginning of a fragment that stands in the text.
 
-    Beginnings are nested, so the length is found bit by bit from the largest power of two.
+    Beginnings are nested, so the length is found bit by bit from the largest power of two that
+    is not longer; a fragment that stands there whole is not cut at all.
     """
-    bits = F.array(*(F.lit(1 << k) for k in range(16, -1, -1)))
+    bits = F.transform(F.sequence(F.least(F.floor(F.log2(F.length(fragment).cast("double"))), F.lit(30)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
     fits = lambda n, b: (n + b <= F.length(fragment)) & F.contains(hay, F.substring(fragment, F.lit(1), n + b))
-    return F.aggregate(bits, F.lit(0), lambda n, b: F.when(fits(n, b), n + b).otherwise(n))
+    found = F.aggregate(bits, F.lit(0), lambda n, b: F.when(fits(n, b), n + b).otherwise(n))
+    return F.when(F.contains(hay, fragment), F.length(fragment)).otherwise(found)
 
 
 def metrics(quote: Column, hay: Column) -> Column:

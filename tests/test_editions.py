@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from stemma import editions
 from stemma.functions import captions
 from stemma.operators import audits, diff, interpretation, reports
+from stemma.plans import forms
 from stemma.sources.documents import parse_markdown
 
 OLD = """## 1 Anwendungsbereich
@@ -442,3 +443,18 @@ def test_lines_of_one_place_have_one_order(spark):
     for some in (rows, rows[::-1], rows[2:] + rows[:2]):
         lines = reports.parameter_groups(spark.createDataFrame(some, schema).coalesce(1), chapters).orderBy("place").collect()
         assert [r["line"] for r in lines] == [f"1: {n} → 9" for n in (5, 18, 46, 46, 100)]
+
+
+def test_long_quotes_match_to_their_last_letter(spark):
+    hay = "abcdefghij" * 20_000
+    quotes = [hay, hay + "x", hay[:150_001] + "x", "x" + hay, "abc", "abx"]
+    rows = spark.createDataFrame([(k, q, hay) for k, q in enumerate(quotes)], "k int, q string, hay string")
+    got = rows.select("k", interpretation.matched_chars(F.col("q"), F.col("hay")).alias("n")).orderBy("k").collect()
+    assert [r["n"] for r in got] == [200_000, 200_000, 150_001, 0, 3, 2]
+
+
+def test_quotes_are_judged_once_per_text(spark, tmp_path):
+    rows = [(o, 12 + p, 1) for o in range(50) for p in range(6)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert forms._quotes(spark, str(tmp_path)).count() == 6
+    assert {r["form"]: (r["ok"], r["strict"], r["n"]) for r in forms.evidence_guard(spark, str(tmp_path)).collect()} == {k: (k < 4, k != 4, 50) for k in range(6)}
