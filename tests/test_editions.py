@@ -458,3 +458,11 @@ def test_quotes_are_judged_once_per_text(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert forms._quotes(spark, str(tmp_path)).count() == 6
     assert {r["form"]: (r["ok"], r["strict"], r["n"]) for r in forms.evidence_guard(spark, str(tmp_path)).collect()} == {k: (k < 4, k != 4, 50) for k in range(6)}
+
+
+def test_each_text_is_looked_at_once(spark, monkeypatch):
+    seen, of = [], editions._forms
+    monkeypatch.setattr(editions, "_forms", lambda texts: seen.append(texts.count()) or of(texts))
+    rows = [("p", e, s, "1", "t", 1, None if s == 9 else s, None if s == 9 else f"Text {s % 2}.") for e in ("old", "new") for s in range(10)]
+    found = editions.enriched(spark.createDataFrame(rows, "pair_id string, edition string, sec_ix int, section_id string, title string, level int, par_ix int, n0 string")).collect()
+    assert seen == [3] and sorted((r["edition"], r["sec_ix"], r["n0"] or "", r["key"]) for r in found) == sorted((r[1], r[2], r[7] or "", (r[7] or "").lower().replace(" ", "").replace(".", "")) for r in rows)
