@@ -46,8 +46,8 @@ ROW_WORDS = 64
 PIECES_KEPT = 1_600_000
 #: Stretches that the library gets as one text.
 AT_ONCE = 2000
-#: A space between white space, or between white space and the end.
-BETWEEN = re.compile(r"\s (?:\s|\Z)")
+#: A space between white space, or between white space and the end; found by the space, which is fast.
+BETWEEN = re.compile(r" (?<=\s )(?:\s|\Z)")
 
 # ---------------------------------------------------------------- checksums
 
@@ -192,6 +192,7 @@ class LibraryEncoder:
         for token, i in vocab.items():  # a character of a byte-level token is a byte
             self.bytes_of[i] = len(token)
         self.known: dict[str, bytes] = {}
+        self.known_firsts: dict[str, bytes] = {}
 
     def stretches(self, parts: list[str]) -> list[bytes]:
         """Ids of stretches that begin with a character, each with its space.
@@ -217,16 +218,22 @@ class LibraryEncoder:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > PIECES_KEPT:
             self.known = {}
-        known = self.known
+        if len(self.known_firsts) > PIECES_KEPT:
+            self.known_firsts = {}
+        known, known_firsts = self.known, self.known_firsts
         parts = [None if BETWEEN.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
-        new = sorted(set().union(*(p[1:] for p in parts if p)).difference(known))
+        starts = [t if p is None else p.pop(0) for t, p in zip(texts, parts)]
+        new = sorted(set().union(*filter(None, parts)).difference(known))
         passing = {}
         plain, odd = [p for p in new if p and not p[0].isspace()], [p for p in new if not p or p[0].isspace()]
         for part, got in zip([*plain, *odd], [*self.stretches(plain), *self.whole([" " + p for p in odd])]):
             (known if len(part) <= LONGEST_KEPT else passing)[part] = got
         look = known.__getitem__ if not passing else lambda p: known[p] if p in known else passing[p]
-        firsts = self.whole([t if p is None else p[0] for t, p in zip(texts, parts)])
-        joined = (f if p is None else f + b"".join(map(look, p[1:])) for f, p in zip(firsts, parts))
+        sought = sorted(set(starts).difference(known_firsts))
+        firsts = dict(zip(sought, self.whole(sought)))
+        known_firsts.update((k, v) for k, v in firsts.items() if len(k) <= LONGEST_KEPT)
+        firsts.update((k, known_firsts[k]) for k in starts if k not in firsts)
+        joined = (firsts[k] if p is None else firsts[k] + b"".join(map(look, p)) for k, p in zip(starts, parts))
         return [np.frombuffer(j, self.type).astype(np.uint32) for j in joined]
 
 
