@@ -263,6 +263,47 @@ def test_cosine_matrix_equals_its_definition(monkeypatch):
     assert kernels.cosine_matrix([], ["a"]).shape == (0, 1)
 
 
+def test_grams_of_a_large_alphabet():
+    signs = "".join(map(chr, range(0x4E00, 0x4E00 + 18_000)))
+    texts = [signs[:9_000], signs[9_000:], signs[4_000:12_000] + signs[:90], "ab"]
+    assert np.abs(kernels.cosine_matrix(texts[:2], texts[2:]) - plain_cosine(texts[:2], texts[2:])).max() < 1e-9
+
+
+def test_cosines_of_groups_from_a_least_one_on():
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["der", "netz", "über", "anlage", "teil", "x"]) for _ in range(rnd.randrange(9))) for _ in range(12)]
+    old, new = [(k,) for k in range(6)], align.runs(set(range(6, 12)))
+    plain = plain_cosine(*([" ".join(texts[k] for k in g) for g in groups] for groups in (old, new)))
+    for least in (0.0, 0.62, 0.8, 0.95, 1.01):
+        got = kernels.cosine_of_groups(texts, kernels.word_numbers(texts), old, new, least)
+        assert ((np.abs(got - plain) < 1e-9) | ((got == 0) & (plain < least))).all()
+
+
+def test_windows_compare_characters_only_where_words_allow_it(monkeypatch):
+    compared = []
+    plain = kernels._char_terms
+    monkeypatch.setattr(kernels, "_char_terms", lambda texts: compared.append(len(texts)) or plain(texts))
+    old, new = ({k: f"{side}{k} wort{side}{k} satz{side}{k}" for k in range(20)} for side in "ab")
+    assert list(align.pair_residuals(old, new, align.TAU)) == [] and compared == [40]
+    halves = [" ".join(f"{word}{k}" for k in range(40)) for word in ("netz", "anlage")]
+    old[20], new[20], new[21] = " ".join(halves), *halves
+    assert [x[:3] for x in align.pair_residuals(old, new, 0.9)] == [([20], [20, 21], "split")]
+
+
+def test_classes_of_signs_cover_all_signs(spark):
+    signs = spark.range(1, 0x30000).filter("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'utf-32')").alias("t"))
+    lower = F.lower(text._ligatures(F.col("t")))
+    damaged = F.regexp_replace("t", f"[^{text.GOOD}]+", "…") != F.regexp_replace("t", text.DAMAGE, "…")
+    other = F.regexp_replace(lower, f"[^{text.KEY_CHARS}]+", "") != text.compare_key(F.col("t"))
+    assert signs.count() == 0x30000 - 1 - 2048 and signs.filter(damaged | other).count() == 0
+
+
+def test_long_parts_are_looked_up_by_few_grams_within_a_group(spark):
+    rows = spark.createDataFrame([("x", "abcdefgh"), ("x", "".join(f"{k:05d}" for k in range(999)))], "g string, key string")
+    got = rows.select(joins._spread_grams(F.col("key"), ["g"]).alias("few"), joins._grams(F.col("key"), ["g"]).alias("all")).collect()
+    assert [len(r["few"]) for r in got] == [1, joins.SPREAD] and all(set(r["few"]) <= set(r["all"]) for r in got)
+
+
 def test_containment_equals_all_pairs(spark):
     rnd = random.Random(4)
     word = lambda n: "".join(rnd.choice("ab1") for _ in range(n))
