@@ -1,11 +1,13 @@
 """The comparison end to end on small invented editions, and what is reported, asked and measured of it."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from stemma import editions
 from stemma.functions import captions
-from stemma.operators import audits, diff, interpretation, reports
+from stemma.operators import align, audits, chapters, diff, interpretation, kernels, reports
 from stemma.plans import forms
 from stemma.sources.documents import parse_markdown
 
@@ -466,3 +468,28 @@ def test_each_text_is_looked_at_once(spark, monkeypatch):
     rows = [("p", e, s, "1", "t", 1, None if s == 9 else s, None if s == 9 else f"Text {s % 2}.") for e in ("old", "new") for s in range(10)]
     found = editions.enriched(spark.createDataFrame(rows, "pair_id string, edition string, sec_ix int, section_id string, title string, level int, par_ix int, n0 string")).collect()
     assert seen == [3] and sorted((r["edition"], r["sec_ix"], r["n0"] or "", r["key"]) for r in found) == sorted((r[1], r[2], r[7] or "", (r[7] or "").lower().replace(" ", "").replace(".", "")) for r in rows)
+
+
+def test_groups_whose_words_decide_need_no_matrix(spark, monkeypatch):
+    some = random.Random(3)
+    texts = ["".join(some.choices("abcdef0123", k=96)) for _ in range(40)]
+    old, new = [*texts[:30], "kurz"], [*texts[20:][::-1], "andere kurze"]
+    score = kernels.cosine_matrix(old, new)
+    whole = [(r, c, round(float(score[r, c]), 3)) for r, c in kernels.assign(score) if score[r, c] >= align.TAU_MOVED]
+    assert len(whole) == 10
+    near = [f"{texts[0]} {texts[1]} {k}" for k in range(3)]
+    assert align.plain_moves(near, near[1:]) is None and align.plain_moves([texts[0]] * 2, texts[:1]) is None
+    assert len(align.moved(near, near[1:])) == 2
+    for module in (align, kernels):
+        monkeypatch.setattr(module, "cosine_of_groups", None)
+    assert sorted(align.moved(old, new)) == whole
+    assert list(align.pair_residuals(dict(enumerate(texts[:20])), dict(enumerate(texts[20:])), align.TAU)) == []
+
+
+def test_pairs_without_free_sections_stay_out_of_the_assignment(spark):
+    schema = "pair_id string, edition string, sec_ix int, section_id string, title string, level int, part string, text string"
+    rows = [(p, e, k, str(k + 1), f"titel {k}", 1, None, f"titel {k} inhalt") for p in ("a", "b") for e in ("old", "new") for k in range(3)]
+    rows += [("b", "old", 3, "8", "besondere lasten", 1, None, "besondere lasten"), ("b", "new", 3, "9", "besondere lasten", 1, None, "besondere lasten"), ("a", "old", 3, "8", "allein", 1, None, "allein")]
+    sections = spark.createDataFrame(rows, schema)
+    found = chapters.by_similarity(sections, chapters.same_ids(sections))
+    assert [(r["pair_id"], r["old_ix"], r["new_ix"]) for r in found.collect()] == [("b", 3, 3)]
